@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .ann import op10_ann
 from .bpe import op7_bpe
+from .brown import op6_brown
 from .langid import op3_langid
 from .media import op4_media
 from .packing import op5_packing
@@ -11,6 +13,8 @@ QUERIES = {
     "op3_langid": op3_langid,
     "op4_media": op4_media,
     "op5_packing": op5_packing,
+    "op6_brown": op6_brown,
     "op7_bpe": op7_bpe,
+    "op10_ann": op10_ann,
 }
 ORACLES: dict[str, str] = {}

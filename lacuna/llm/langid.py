@@ -9,13 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from .bpe import _batches
 
 SAMPLE_DOCS, SAMPLE_CHARS, TEXT_CHARS, MAX_LANGS = 120, 30_000, 1_500, 64  #: bounds of the labelled sample, per language
 CLASSES = 64  #: characters told apart; the last class is padding, class 0 every character the samples lack
 SEGMENT = 512  #: a text is parsed in segments of so many characters, the same for every language
-_SCHEMA = "doc_id long, lang_pred string, score double"
 
 
 def automaton(sample: np.ndarray) -> np.ndarray:
@@ -153,25 +153,24 @@ def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return tuple((lang, "\n".join(t for _, t in sorted(rows)[:SAMPLE_DOCS])[:SAMPLE_CHARS]) for lang, rows in found.items() if rows)
 
 
-def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred and score of every row, and the columns in `keep`.
+def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """doc_id, lang_pred and score of every row; with `keep`, also the row itself as a struct.
 
     The whole text is parsed. A null text, or one without a letter, is `und` with score 0, as is every text where there
     is no sample to learn from. Ties go to the language that comes first by name. Null ids and repeated rows stay.
     """
-    cols = [F.col(text_col).cast("string").alias("__text"), F.col(id_col).cast("long").alias("__id"), *(F.col(c) for c in keep)]
+    own = [F.struct(*docs.columns).alias("row")] if keep else []
+    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *own)
 
     def run(batches):
         m = model(samples)
         for whole in batches:
-            whole = whole.select([whole.schema.names[1], whole.schema.names[0], *whole.schema.names[2:]])
             for b in _batches(whole):
                 langs, scores = m.predict(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores), *b.columns[2:]], ["doc_id", "lang_pred", "score", *keep])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores), *b.columns[2:]], ["doc_id", "lang_pred", "score", *(["row"] if keep else [])])
 
-    df = docs.select(*cols)
-    kept = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
-    return df.mapInArrow(run, ", ".join([_SCHEMA, *kept]))
+    schema = StructType([StructField("doc_id", LongType()), StructField("lang_pred", StringType()), StructField("score", DoubleType()), *df.schema.fields[2:]])
+    return df.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -8,13 +8,17 @@ from .brown import op6_brown
 from .langid import op3_langid
 from .media import op4_media
 from .packing import op5_packing
+from .secrets import op9_secrets
+from .substring import op1_substring
 
 QUERIES = {
+    "op1_substring": op1_substring,
     "op3_langid": op3_langid,
     "op4_media": op4_media,
     "op5_packing": op5_packing,
     "op6_brown": op6_brown,
     "op7_bpe": op7_bpe,
+    "op9_secrets": op9_secrets,
     "op10_ann": op10_ann,
 }
 ORACLES: dict[str, str] = {}

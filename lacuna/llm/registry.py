@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op10_ann
 from .bpe import op7_bpe
 from .brown import op6_brown
+from .jaccard import op2_jaccard
 from .langid import op3_langid
 from .media import op4_media
 from .packing import op5_packing
@@ -13,6 +14,7 @@ from .substring import op1_substring
 
 QUERIES = {
     "op1_substring": op1_substring,
+    "op2_jaccard": op2_jaccard,
     "op3_langid": op3_langid,
     "op4_media": op4_media,
     "op5_packing": op5_packing,

@@ -15,7 +15,7 @@ from .common import MAX64, NULL_ID, cut, grams, hash_words, id_key, mix, sliding
 WINDOW = 20
 HELD = 1 << 21  #: windows a task holds before it sends them on
 _FOUND = "h long, did long, th long, pos int, many boolean, packed binary"
-_FLAGS = "did long, th long, packed binary"
+_FLAGS = "did long, th long, pos int, packed binary"
 
 
 def _pack(did: np.ndarray, th: np.ndarray, pos: np.ndarray):
@@ -43,8 +43,9 @@ def _send(h: np.ndarray, did: np.ndarray, th: np.ndarray, pos: np.ndarray, later
     if later:
         after &= (did > did[starts][run]) | (pos > pos[starts][run])
     d, t, packed = _pack(did[after], th[after], pos[after])
-    go = ~after
-    n, m = int(go.sum()), len(d)
+    go = np.flatnonzero(~after)
+    go = go[np.argsort(order[go])]  # by document again: neighbours then differ in little but the hash, and compress
+    n, m = len(go), len(d)
     none = lambda k, kind: pa.nulls(k, kind)
     yield pa.RecordBatch.from_arrays([pa.array(h[go].view(np.int64)), pa.array(did[go]), pa.array(th[go]), pa.array(pos[go].astype(np.int32)), pa.array(many[go]), none(n, pa.binary())], ["h", "did", "th", "pos", "many", "packed"])
     if m:
@@ -60,18 +61,15 @@ def _settle(found: DataFrame, later: bool) -> DataFrame:
     """
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
         last = None  # later: (h, did, pos) of the first row of the run; else the row not yet decided
 
-        def out():
-            d, t, p = _pack(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(p, pa.binary())], ["did", "th", "packed"])
+        def out(did, th, pos):
+            return pa.RecordBatch.from_arrays([pa.array(did), pa.array(th), pa.array(pos.astype(np.int32)), pa.nulls(len(did), pa.binary())], ["did", "th", "pos", "packed"])
 
         for b in batches:
             whole = b.column(5).is_valid()
             if (settled := b.filter(whole)).num_rows:
-                yield settled.select(["did", "th", "packed"])
+                yield settled.select(["did", "th", "pos", "packed"])
             b = b.filter(pa.compute.invert(whole))
             if not b.num_rows:
                 continue
@@ -96,18 +94,18 @@ def _settle(found: DataFrame, later: bool) -> DataFrame:
                 last = (h[-1], did[-1], th[-1], pos[-1], bool(go[-1]))
                 go[-1] = False
             if go.any():
-                held.append((did[go], th[go], pos[go].astype(np.int32)))
-                size += int(go.sum())
-            if size > HELD:
-                yield out()
-                held, size = [], 0
+                yield out(did[go], th[go], pos[go])
         if not later and last is not None and last[4]:
-            held.append(tuple(np.array([x]) for x in last[1:4]))
-        if held:
-            yield out()
+            yield out(*(np.array([x]) for x in last[1:4]))
 
     rows = found.repartition("h").sortWithinPartitions("h", "did", "pos")
-    return rows.mapInArrow(run, _FLAGS).groupBy("did", "th").agg(F.collect_list("packed").alias("packed"))
+    return rows.mapInArrow(run, _FLAGS).groupBy("did", "th").agg(F.collect_list("pos").alias("pos"), F.collect_list("packed").alias("packed"))
+
+
+def _starts(pos, packed) -> np.ndarray:
+    """All positions of a document, from the list of them and the list of packed ones."""
+    found = [np.asarray(pos.values, np.int64)] if pos.is_valid else []
+    return np.concatenate([*found, *(np.frombuffer(p, "<i4") for p in packed or ()), np.zeros(0, np.int64)])
 
 
 def _windows(per: np.ndarray, n: int, length: int) -> np.ndarray:
@@ -137,9 +135,8 @@ def _task(look, later: bool):
                 flags = np.zeros(len(words), bool)
                 if b.num_columns > 3:
                     base = np.cumsum(per) - per
-                    for at, packed in zip(base.tolist(), b.column(3).to_pylist(), strict=True):
-                        for p in packed or ():
-                            flags[at + np.frombuffer(p, "<i4")] = True
+                    for at, *marks in zip(base.tolist(), b.column(3), b.column(4).to_pylist(), strict=True):
+                        flags[at + _starts(*marks)] = True
                 h, chosen = look(words, per, flags)
                 at = np.flatnonzero(chosen)
                 owner = np.repeat(np.arange(len(per)), per)[at]
@@ -181,7 +178,7 @@ def repeated(base: DataFrame, window: int, later: bool, placed: DataFrame) -> Da
         return grams(words, window), alive & _windows(per, len(words), window)
 
     halves = _settle(base.mapInArrow(_task(first, False), _FOUND), False)
-    grown = placed.join(halves, ["did", "th"]).select("did", "data", "th", "packed")
+    grown = placed.join(halves, ["did", "th"]).select("did", "data", "th", "pos", "packed")
     return _settle(grown.mapInArrow(_task(second, later), _FOUND), later)
 
 
@@ -201,7 +198,7 @@ def longest_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             both = on & np.concatenate((on[length:], np.zeros(min(length, len(on)), bool)))
             return grams(words, 2 * length), both & _windows(per, len(words), 2 * length)
 
-        rows = placed.join(flags, ["did", "th"]).select("did", "data", "th", "packed")
+        rows = placed.join(flags, ["did", "th"]).select("did", "data", "th", "pos", "packed")
         flags = cut(_settle(rows.mapInArrow(_task(grow, False), _FOUND), False))
         length *= 2
     out = base.select("did", "th")
@@ -232,11 +229,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
         for whole in batches:
             for b in _batches(whole):
                 n_words, n_removed, sha, kept = [], [], [], []
-                for data, packed in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for data, *marks in zip(b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                     words = (data or b"").split()
                     n_words.append(len(words))
-                    if packed:
-                        starts = np.concatenate([np.frombuffer(p, "<i4") for p in packed])
+                    starts = _starts(*marks)
+                    if len(starts):
                         change = np.bincount(starts, minlength=len(words) + 1) - np.bincount(starts + window, minlength=len(words) + 1)[: len(words) + 1]
                         left = np.flatnonzero(np.cumsum(change)[:-1] == 0)
                         words = [words[i] for i in left.tolist()]
@@ -250,7 +247,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                     out, names = [*out, pa.array(kept, pa.binary()).cast(pa.string())], [*names, "kept"]
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    rows = placed.join(gone, ["did", "th"], "left").select("did", "data", "packed")
+    rows = placed.join(gone, ["did", "th"], "left").select("did", "data", "pos", "packed")
     rows = rows.mapInArrow(keep, "did long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
     return rows.select(_doc_id(), *rows.columns[1:])
 

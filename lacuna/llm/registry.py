@@ -8,6 +8,7 @@ from .brown import op6_brown
 from .jaccard import op2_jaccard
 from .langid import op3_langid
 from .media import op4_media
+from .lines import op8_lines
 from .packing import op5_packing
 from .secrets import op9_secrets
 from .substring import op1_substring
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_brown": op6_brown,
     "op7_bpe": op7_bpe,
+    "op8_lines": op8_lines,
     "op9_secrets": op9_secrets,
     "op10_ann": op10_ann,
 }

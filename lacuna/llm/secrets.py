@@ -83,20 +83,18 @@ def battery(token: Column) -> Column:
     bare = F.when(kind == "hex", F.lower(bare)).otherwise(bare)
 
     def stats(v):
-        text, alphabet, chars = v["text"], v["alphabet"], v["chars"]
+        text, alphabet, chars, place, high = (v[c] for c in ("text", "alphabet", "chars", "place", "high"))
         n, a = F.size(chars).cast("double"), F.length(alphabet).cast("double")
         squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc + F.pow(F.length(text) - F.length(F.replace(text, c, F.lit(""))), F.lit(2.0)))
         chi, df = a / n * squares - n, a - 1
         wilson = (F.pow(F.greatest(chi, F.lit(1e-9)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-        place = F.transform(chars, lambda c: (F.instr(alphabet, c) - 1).cast("double"))
-        high = F.transform(place, lambda x: (x * 2 >= a).cast("int"))
         n1 = F.aggregate(high, F.lit(0), lambda acc, x: acc + x).cast("double")
         n0 = n - n1
         pairs = F.sequence(F.lit(2), F.size(chars))
         runs = F.aggregate(pairs, F.lit(1), lambda acc, i: acc + (F.element_at(high, i) != F.element_at(high, i - 1)).cast("int")).cast("double")
         m = 2 * n1 * n0 / n + 1
         z_runs = (runs - m) / F.sqrt(F.greatest((m - 1) * (m - 2) / (n - 1), F.lit(1e-9)))
-        mean = F.aggregate(place, F.lit(0.0), lambda acc, x: acc + x) / n
+        mean = v["mean"]
         var = F.aggregate(place, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
         lag = F.aggregate(pairs, F.lit(0.0), lambda acc, i: acc + (F.element_at(place, i) - mean) * (F.element_at(place, i - 1) - mean))
         z_serial = (lag / F.greatest(var, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
@@ -107,7 +105,12 @@ def battery(token: Column) -> Column:
         two = lambda z: 2 * _normal(-F.abs(z))
         return F.struct((1 - _normal(wilson)).alias("p_uniform"), two(z_runs).alias("p_runs"), two(z_serial).alias("p_serial"), _normal((squares - mean_2) / F.sqrt(var_2)).alias("p_text"))
 
-    values = F.transform(F.array(F.struct(bare.alias("text"), symbols.alias("alphabet"), F.split(bare, "").alias("chars"))), stats)
+    # each step binds what the next one uses, as a lambda evaluates whatever it doesn't take as a variable for each element
+    step = lambda rows, f: F.transform(rows, lambda v: F.struct(*(v[c].alias(c) for c in f[0]), *(x.alias(c) for c, x in f[1](v).items())))
+    values = F.array(F.struct(bare.alias("text"), symbols.alias("alphabet"), F.split(bare, "").alias("chars")))
+    values = step(values, (["text", "alphabet", "chars"], lambda v: {"place": F.transform(v["chars"], lambda c: (F.instr(v["alphabet"], c) - 1).cast("double"))}))
+    values = step(values, (["text", "alphabet", "chars", "place"], lambda v: {"high": F.transform(v["place"], lambda x: (x * 2 >= F.length(v["alphabet"])).cast("int")), "mean": F.aggregate(v["place"], F.lit(0.0), lambda acc, x: acc + x) / F.size(v["place"])}))
+    values = F.transform(values, stats)
     return F.when(kind.isNotNull(), F.element_at(values, 1))
 
 

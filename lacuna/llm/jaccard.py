@@ -13,7 +13,7 @@ from .components import components
 
 WIDTH, NUM, DEN = 3, 90, 100  #: words in a shingle; two sets link when DEN * intersection >= NUM * union
 COMMON = 16_384  #: shingles known as frequent, which come last in the order of prefixes
-MARKS = 16  #: 64-bit words of the parity marks of a set
+MARKS = (256, 1 << 17)  #: fewest and most parity marks of a set; the power of two from twice its size between them
 BLOCK, SMALL, SLOTS = 2048, 16, 8  #: entries of a list met at once; lists whose pairs are all tried first; share of others
 BROADCAST = 1_000_000  #: ids sent to every task at most
 _SET = "did long, cid long, sid long, n int"
@@ -103,7 +103,8 @@ def _described(rows: DataFrame, frequent: np.ndarray, width: int, num: int, den:
                 groups = [_names(np.concatenate((h, np.array([len(s)], np.uint64))))[0] for h, s in zip(heads, sets, strict=True)]
                 marks = []
                 for s in sets:
-                    bits = (np.bincount((mix(s + _SALT) & np.uint64(MARKS * 64 - 1)).astype(np.int64), minlength=MARKS * 64) & 1).astype(np.uint8)
+                    width_ = min(max(MARKS[0], 1 << (2 * len(s)).bit_length()), MARKS[1])
+                    bits = (np.bincount((mix(s + _SALT) & np.uint64(width_ - 1)).astype(np.int64), minlength=width_) & 1).astype(np.uint8)
                     marks.append(np.packbits(bits).tobytes())
                 lens = np.array([len(h) for h in heads], np.int64)
                 flat = np.concatenate([*heads, np.zeros(0, np.uint64)]).view(np.int64)
@@ -118,6 +119,54 @@ def _described(rows: DataFrame, frequent: np.ndarray, width: int, num: int, den:
     return rows.mapInArrow(run, f"{_SET}, gid long, prefix array<long>, marks binary")
 
 
+def _differ(marks: np.ndarray, wide: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many parity marks the sets of each pair differ; the longer marks of the two are folded onto the shorter."""
+    out = np.zeros(len(i), np.int64)
+    code = wide[i] << 32 | wide[j]
+    for c in np.unique(code):
+        at = np.flatnonzero(code == c)
+        low = min(int(c) >> 32, int(c) & 0xFFFFFFFF) // 8
+        step = max(1, (1 << 21) // low)
+        for k in range(0, len(at), step):
+            part = at[k : k + step]
+            a, b = (np.bitwise_xor.reduce(np.frombuffer(b"".join(marks[y[part]]), np.uint64).reshape(len(part), -1, low), axis=1) for y in (i, j))
+            out[part] = np.bitwise_count(a ^ b).sum(axis=1)
+    return out
+
+
+def _meeting(posts: DataFrame, num: int, den: int) -> DataFrame:
+    """The posts (token, gid, n, lead) that some other post of their token, or another member of their group, is near in size.
+
+    In order of size within a token, that is a neighbour if any; only one row is kept in mind.
+    """
+    names = ["token", "gid", "n", "members", "lead"]
+
+    def out(x, go):
+        return pa.RecordBatch.from_arrays([pa.array(x[c][go]) for c in names], names)
+
+    def run(batches):
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in names}
+            x["lead"] = x["lead"].astype(bool)
+            x["go"] = x["lead"] & (x["members"] > 1)
+            if last is not None:
+                x = {c: np.concatenate((last[c], x[c])) for c in x}
+            n = x["n"].astype(np.int64)
+            near = (x["token"][1:] == x["token"][:-1]) & (den * n[:-1] >= num * n[1:])
+            x["go"][1:] |= near
+            x["go"][:-1] |= near
+            last = {c: v[-1:].copy() for c, v in x.items()}
+            x["go"][-1] = False
+            yield out(x, x["go"])
+        if last is not None:
+            yield out(last, last["go"])
+
+    return posts.repartition("token").sortWithinPartitions("token", "n").mapInArrow(run, "token long, gid long, n int, members long, lead boolean")
+
+
 def _pairs(num: int, den: int, first: bool):
     """Pairs of classes in the same list that sizes and marks allow.
 
@@ -136,7 +185,7 @@ def _pairs(num: int, den: int, first: bool):
             ok &= x["root"][i] != x["root"][j]
         at = np.flatnonzero(ok)
         i, j = i[at], j[at]
-        differ = np.bitwise_count(x["marks"][i] ^ x["marks"][j]).sum(axis=1)
+        differ = _differ(x["marks"], x["wide"], i, j)
         fits = differ * (den + num) <= (n[i] + n[j]) * (den - num)
         return i[fits], j[fits]
 
@@ -186,7 +235,9 @@ def _pairs(num: int, den: int, first: bool):
                 continue
             x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in names}
             x["lead"], x["cut"], x["n"] = x["lead"].astype(bool), x["cut"].astype(bool), x["n"].astype(np.int64)
-            x["marks"] = np.frombuffer(b"".join(b.column("marks").to_pylist()), np.uint64).reshape(-1, MARKS)
+            x["marks"] = np.empty(b.num_rows, object)
+            x["marks"][:] = b.column("marks").to_pylist()
+            x["wide"] = np.array([len(y) for y in x["marks"]], np.int64)
             if held is not None:
                 x = {c: np.concatenate((held[c], x[c])) for c in x}
             k = len(x["n"]) - 1
@@ -248,25 +299,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = sets.filter("n > 0").groupBy("cid", "sid", "n").agg(F.min("did").alias("did"), F.first("gid").alias("gid"), F.first("prefix").alias("prefix"), F.first("marks").alias("marks"))
     classes = cut(classes)
     reps = classes.select("cid", "did")
-    groups = classes.groupBy("gid").agg(F.first("prefix").alias("prefix"), F.count("*").alias("members"))
-    posts = groups.select(F.explode("prefix").alias("token"), "gid", "members", F.element_at("prefix", 1).alias("head"))
-    counts = posts.groupBy("token").agg(F.sum("members").alias("entries")).filter("entries > 1")
-    blocks = F.ceil(F.col("entries") / BLOCK).cast("int")
-    posts = posts.join(counts, "token").select("token", "gid", (F.col("token") == F.col("head")).alias("lead"), blocks.alias("blocks"))
-    lists = posts.join(classes.select("gid", "cid", "n", "marks"), "gid")
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    lists = lists.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lists = lists.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", (F.col("blocks") > 1).alias("cut"), "gid", "cid", "n", "lead", "marks")
+    groups = classes.groupBy("gid", "n").agg(F.first("prefix").alias("prefix"), F.count("*").alias("members"))
+    lead = F.col("token") == F.element_at("prefix", 1)
+    posts = groups.select(F.explode("prefix").alias("token"), "gid", "n", "prefix", "members")
+    posts = posts.select("token", "gid", "n", "members", lead.alias("lead"))
+    posts = cut(_meeting(posts, num, den))
+    counts = posts.groupBy("token").agg(F.sum("members").alias("entries"))
+    posts = posts.join(counts, "token").drop("members")
+
+    def listed(posts: DataFrame) -> DataFrame:
+        """A row for each list, block pair and class."""
+        rows = posts.withColumn("blocks", F.ceil(F.col("entries") / BLOCK).cast("int")).join(classes.select("gid", "cid", "marks"), "gid")
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return rows.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", (F.col("blocks") > 1).alias("cut"), "gid", "cid", "n", "lead", "marks")
 
     def tried(lists: DataFrame, first: bool) -> DataFrame:
         order = ["token", "lo", "hi"]
         return lists.repartition(*order).sortWithinPartitions(*order, "n").mapInArrow(_pairs(num, den, first), "a long, b long")
 
-    links = cut(_verified(rows, tried(lists.withColumn("root", F.col("cid")), True), reps, width, num, den))
-    large = counts.filter(F.col("entries") > SMALL).select("token")
+    links = cut(_verified(rows, tried(listed(posts).withColumn("root", F.col("cid")), True), reps, width, num, den))
+    large = posts.filter(F.col("entries") > SMALL)
     if not large.isEmpty():
         roots = components(links).toDF("cid", "root")
-        again = lists.join(large, "token", "left_semi").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        again = listed(large).join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         more = cut(_verified(rows, tried(again, False), reps, width, num, den))
         links = links.union(more)
     roots = components(links).toDF("cid", "root")

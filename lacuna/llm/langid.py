@@ -67,7 +67,7 @@ class Model:
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.langs = [lang for lang, _ in samples]
         coded = [codes(t.lower()) for _, t in samples]
-        seen, counts = np.unique(np.concatenate(coded), return_counts=True)
+        seen, counts = np.unique(np.concatenate([*coded, np.zeros(0, np.uint32)]), return_counts=True)
         kept = seen[np.lexsort((seen, -counts))][: CLASSES - 2]
         self.classes = np.zeros(0x110000, np.uint8)
         self.classes[kept] = np.arange(1, len(kept) + 1)

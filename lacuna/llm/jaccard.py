@@ -13,7 +13,7 @@ from .components import components
 
 WIDTH, NUM, DEN = 3, 90, 100  #: words in a shingle; two sets link when DEN * intersection >= NUM * union
 COMMON = 16_384  #: shingles known as frequent, which come last in the order of prefixes
-MARKS = (256, 1 << 17)  #: fewest and most parity marks of a set; the power of two from twice its size between them
+MARKS = (128, 1 << 17)  #: fewest and most parity marks of a set; between them, the power of two above 3 times the bits that may differ
 BLOCK, SMALL, SLOTS = 2048, 16, 8  #: entries of a list met at once; lists whose pairs are all tried first; share of others
 BROADCAST = 1_000_000  #: ids sent to every task at most
 _SET = "did long, cid long, sid long, n int"
@@ -103,7 +103,7 @@ def _described(rows: DataFrame, frequent: np.ndarray, width: int, num: int, den:
                 groups = [_names(np.concatenate((h, np.array([len(s)], np.uint64))))[0] for h, s in zip(heads, sets, strict=True)]
                 marks = []
                 for s in sets:
-                    width_ = min(max(MARKS[0], 1 << (2 * len(s)).bit_length()), MARKS[1])
+                    width_ = min(max(MARKS[0], 1 << (6 * len(s) * (den - num) // (den + num)).bit_length()), MARKS[1])
                     bits = (np.bincount((mix(s + _SALT) & np.uint64(width_ - 1)).astype(np.int64), minlength=width_) & 1).astype(np.uint8)
                     marks.append(np.packbits(bits).tobytes())
                 lens = np.array([len(h) for h in heads], np.int64)

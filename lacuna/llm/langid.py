@@ -159,17 +159,24 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str
     The whole text is parsed. A null text, or one without a letter, is `und` with score 0, as is every text where there
     is no sample to learn from. Ties go to the language that comes first by name. Null ids and repeated rows stay.
     """
-    own = [F.struct(*docs.columns).alias("row")] if keep else []
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *own)
+    text = [F.col(text_col).cast("string").alias("text")]
+    at = next((k for k, c in enumerate(docs.columns) if keep and c == text_col and docs.schema[k].dataType == StringType()), -1)
+    if keep:
+        # the text of a row is sent once
+        text = [*(text if at < 0 else []), F.struct(*docs.columns).alias("row")]
+    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text)
 
     def run(batches):
         m = model(samples)
         for whole in batches:
+            if at >= 0:
+                row = whole.column(1)
+                whole = pa.RecordBatch.from_arrays([whole.column(0), row.field(at), row], ["doc_id", "text", "row"])
             for b in _batches(whole):
                 langs, scores = m.predict(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores), *b.columns[2:]], ["doc_id", "lang_pred", "score", *(["row"] if keep else [])])
 
-    schema = StructType([StructField("doc_id", LongType()), StructField("lang_pred", StringType()), StructField("score", DoubleType()), *df.schema.fields[2:]])
+    schema = StructType([StructField("doc_id", LongType()), StructField("lang_pred", StringType()), StructField("score", DoubleType()), *(f for f in df.schema.fields if f.name == "row")])
     return df.mapInArrow(run, schema)
 
 

@@ -175,6 +175,9 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str
             for b in _batches(whole):
                 langs, scores = m.predict(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores), *b.columns[2:]], ["doc_id", "lang_pred", "score", *(["row"] if keep else [])])
+        # a worker lives on after its task, beside what runs next
+        whole = b = row = None
+        pa.default_memory_pool().release_unused()
 
     schema = StructType([StructField("doc_id", LongType()), StructField("lang_pred", StringType()), StructField("score", DoubleType()), *(f for f in df.schema.fields if f.name == "row")])
     return df.mapInArrow(run, schema)

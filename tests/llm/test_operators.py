@@ -169,6 +169,19 @@ def test_lines(spark, odd, empty):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_lines_inside_a_band(spark, monkeypatch):
+    """Pairs of alike lines whose band begins and ends with lines unlike them are linked."""
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("bcdfghjklmnp"), n))
+    part = "a" + word(11)  # the one long shingle that signatures take: all lines share every band
+    monkeypatch.setattr(lines, "ENOUGH", (1, 1))
+    monkeypatch.setattr(lines, "BLOCK", 8, raising=False)
+    base = [word(60) + part for _ in range(12)]
+    df = frame(spark, [f"{b}\nz{b}" for b in base])
+    got = {r["did"]: (r["n_removed"], r["kept"]) for r in lines.dedup_lines(df).collect()}
+    assert got == {i + 1: (1, b) for i, b in enumerate(base)}
+
+
 def test_secrets(spark, odd, empty):
     token = "Xk9fQ2pLm7Zt4Wb8Nc3Rv6Yd1Hs5Jg0T"
     text = f'é API_KEY = "abc" token:abcdef1 password: token: xyzxyz AKIA{"B" * 16} {"0a" * 12} {token} the/then/there-1-these-tests'

@@ -182,6 +182,19 @@ def test_lines_inside_a_band(spark, monkeypatch):
     assert got == {i + 1: (1, b) for i, b in enumerate(base)}
 
 
+def test_lines_short(spark, tmp_path):
+    """Short lines that repeat go, in the query and in the pipeline's stage; those unlike others and blank ones stay."""
+    import corpus_pipeline as p
+
+    texts = ["Les.\nab\n\n", "Les.\n \nAnd ornd.\nother", "ab\nAnd ornd.\nab\n\nabc", "a line of 19 letter\nabcdefghij klmn\n\r", "a line of 19 letters\n\r"]
+    kept = ["Les.\nab\n\n", " \nAnd ornd.\nother", "\nabc", "a line of 19 letter\nabcdefghij klmn\n\r", "\r"]
+    df = frame(spark, texts)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in lines.op8_lines(spark, str(tmp_path)).collect()}
+    assert got == {i + 1: (n, hashlib.sha256(k.encode()).hexdigest()) for i, (n, k) in enumerate(zip([0, 1, 3, 0, 1], kept, strict=True))}
+    assert {r["doc_id"]: r["text"] for r in p.lines(spark, df, "").collect()} == dict(enumerate(kept, 1))
+
+
 def test_secrets(spark, odd, empty):
     token = "Xk9fQ2pLm7Zt4Wb8Nc3Rv6Yd1Hs5Jg0T"
     text = f'é API_KEY = "abc" token:abcdef1 password: token: xyzxyz AKIA{"B" * 16} {"0a" * 12} {token} the/then/there-1-these-tests'

@@ -17,7 +17,7 @@ from .common import Table, join_texts, split_words
 
 WINDOW, END = 4096, 2
 SHARD_TOKENS = 1 << 20  #: a shard is closed by the document that takes it beyond this
-QUERY_TERMS, K1, B = 12, 1.2, 0.75
+K1, B = 1.2, 0.75
 CACHE = 1_500_000  #: words a worker remembers the ids of
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -126,12 +126,10 @@ class Index:
         self.n = n
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Documents that share the seed's QUERY_TERMS weightiest terms with others, best first; ties by place."""
+        """Documents that share any term with the seed, best first by all its terms; ties by place."""
         mine = self.own[self.own_edges[seed] : self.own_edges[seed + 1]]
         df = np.diff(self.edges)[self.terms[mine]]
         mine = mine[df > 1]
-        if len(mine) > QUERY_TERMS:
-            mine = mine[np.argpartition(-self.weight[mine], QUERY_TERMS)[:QUERY_TERMS]]
         terms = self.terms[mine]
         at = spread(self.edges[terms], self.edges[terms + 1] - self.edges[terms])
         score = np.bincount(self.docs[at], weights=self.weight[at], minlength=self.n)

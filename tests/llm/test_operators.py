@@ -142,6 +142,21 @@ def test_packing(spark, odd, empty):
     assert sum(v != 4096 for v in by.values()) <= 1 and packing.pack_documents(empty).count() == 0
 
 
+def test_packing_neighbours():
+    """Every document that shares a term with the seed is a neighbour, in the order of the whole query's BM25."""
+    rng = np.random.default_rng(5)
+    docs = [np.arange(40, dtype=np.uint16), *(np.array([k, 100 + k], np.uint16) for k in range(40)), np.array([500], np.uint16)]
+    docs += [rng.integers(0, 60, 30).astype(np.uint16) for _ in range(20)]
+    n, lens = len(docs), np.array([len(d) for d in docs])
+    score = np.zeros(n)
+    for t in np.unique(docs[0]):
+        tf = np.array([(d == t).sum() for d in docs])
+        df = (tf > 0).sum()
+        score += np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * lens / lens.mean()))
+    got = packing.Index(docs).neighbours(0)
+    assert set(got.tolist()) == set(np.flatnonzero(score).tolist()) and (np.diff(score[got]) <= 1e-9).all()
+
+
 def test_brown(spark, odd, empty):
     texts = [" ".join(x) for x in np.random.default_rng(1).choice(["a", "b", "C", "dd", "e"], (60, 30))] + [None, "", "unseen words"]
     df = frame(spark, texts)

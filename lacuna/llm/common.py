@@ -33,6 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def named(column: str):
+    """A column by its whole name, whatever characters are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def every(df: DataFrame) -> list:
+    return [named(c) for c in df.columns]
+
+
 def id_key(col: str):
     """The id as a sort key without nulls."""
     return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID))

@@ -184,17 +184,56 @@ def test_lines(spark, odd, empty):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def _linked(spark, texts):
+    """Whether each pair of alike lines is in one component, by brute force over characters."""
+    sets = [{t[p : p + 5] for p in range(len(t) - 4)} for t in texts]
+    df = frame(spark, texts)
+    roots = {r["node"]: r["root"] for r in components.components(lines.alike(lines._lines(df, "doc_id", "text", 1))).collect()}
+    ids = {r["line"]: r["lid"] for r in lines._lines(df, "doc_id", "text", 1).collect()}
+    ids = [roots.get(ids[t], ids[t]) for t in texts]
+    found = [(ids[i] == ids[j]) for i in range(len(texts)) for j in range(i) if 100 * min(len(sets[i]), len(sets[j])) >= 80 * max(len(sets[i]), len(sets[j])) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    return found, ids, sets
+
+
+def test_lines_near_the_threshold(spark):
+    """Recall of pairs of 49 to 52 characters that one edit in the middle brings down to the threshold, of any script."""
+    rng = np.random.default_rng(8)
+    for letters in ("abcdefghijklmnop rst", "абвгдежзийклмноп рст"):
+        texts = []
+        for k in range(400):
+            t = "".join(rng.choice(list(letters), 49 + k % 4)).replace(" ", "_")
+            texts += [t, t[:24] + "#" + t[25:]]
+        found, _, _ = _linked(spark, texts)
+        assert len(found) == 400 and sum(found) >= 0.95 * len(found)
+
+
+def test_lines_of_real_documents(spark):
+    """Recall against brute force on the lines of documents, and no component joined by anything but links."""
+    texts = [r["line"] for r in lines._lines(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "doc_id", "text", 1).select("line").distinct().collect()]
+    texts = [t for t in texts if len(t) >= 5 and ord(max(t)) < 0x10000]
+    found, ids, sets = _linked(spark, texts)
+    assert sum(found) >= 0.98 * len(found)
+    by = {}
+    for i, r in enumerate(ids):
+        by.setdefault(r, []).append(i)
+    for group in by.values():
+        for i in group if len(group) > 1 else []:
+            assert any(i != j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in group)
+
+
 def test_lines_inside_a_band(spark, monkeypatch):
-    """Pairs of alike lines whose band begins and ends with lines unlike them are linked."""
+    """Pairs of alike lines in a band with lines unlike them are found, however the band is cut into blocks."""
+    monkeypatch.setattr(lines, "BLOCK", 4)
     rng = np.random.default_rng(8)
     word = lambda n: "".join(rng.choice(list("bcdfghjklmnp"), n))
-    part = "a" + word(11)  # the one long shingle that signatures take: all lines share every band
-    monkeypatch.setattr(lines, "ENOUGH", (1, 1))
-    monkeypatch.setattr(lines, "BLOCK", 8, raising=False)
-    base = [word(60) + part for _ in range(12)]
+    base = [word(60) for _ in range(12)]
     df = frame(spark, [f"{b}\nz{b}" for b in base])
-    got = {r["did"]: (r["n_removed"], r["kept"]) for r in lines.dedup_lines(df).collect()}
-    assert got == {i + 1: (1, b) for i, b in enumerate(base)}
+    rows = lines._lines(df, "doc_id", "text", 1)
+    texts = rows.select("lid", "line").join(lines._marks(rows.select("lid", "line")), "lid")
+    bands = rows.select(F.lit(7).cast("long").alias("band"), "lid")
+    none = spark.createDataFrame([], "a long, b long")
+    got = lines._verified(lines._others(bands, texts.select("lid", "n", "marks"), none), texts).collect()
+    assert len(got) == 12
 
 
 def test_lines_short(spark, tmp_path):

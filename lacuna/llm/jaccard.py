@@ -13,8 +13,9 @@ from .components import components
 
 WIDTH, NUM, DEN = 3, 90, 100  #: words in a shingle; two sets link when DEN * intersection >= NUM * union
 COMMON = 16_384  #: shingles known as frequent, which come last in the order of prefixes
-MARKS = (128, 1 << 17)  #: fewest and most parity marks of a set; between them, the power of two above 3 times the bits that may differ
-BLOCK, SMALL, SLOTS = 2048, 16, 8  #: entries of a list met at once; lists whose pairs are all tried first; share of others
+MARKS = (128, 1 << 17)  #: fewest and most parity marks of a set; between them, the power of two above 8 times the bits that may differ
+BLOCK = 1024  #: entries of a list met at once; a larger list is met block by block
+EDGES = 1 << 21  #: pairs held before they are thinned out to a forest
 BROADCAST = 1_000_000  #: ids sent to every task at most
 _SET = "did long, cid long, sid long, n int"
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -70,7 +71,7 @@ def _frequent(rows: DataFrame, width: int) -> np.ndarray:
                 held += sets
                 docs += len(sets)
                 size += sum(map(len, sets))
-                if size > 1 << 23:
+                if size > 1 << 21:
                     yield out()
                     held, docs, size = [], 0, 0
         if held:
@@ -103,7 +104,7 @@ def _described(rows: DataFrame, frequent: np.ndarray, width: int, num: int, den:
                 groups = [_names(np.concatenate((h, np.array([len(s)], np.uint64))))[0] for h, s in zip(heads, sets, strict=True)]
                 marks = []
                 for s in sets:
-                    width_ = min(max(MARKS[0], 1 << (6 * len(s) * (den - num) // (den + num)).bit_length()), MARKS[1])
+                    width_ = min(max(MARKS[0], 1 << (16 * len(s) * (den - num) // (den + num)).bit_length()), MARKS[1])
                     bits = (np.bincount((mix(s + _SALT) & np.uint64(width_ - 1)).astype(np.int64), minlength=width_) & 1).astype(np.uint8)
                     marks.append(np.packbits(bits).tobytes())
                 lens = np.array([len(h) for h in heads], np.int64)
@@ -119,7 +120,7 @@ def _described(rows: DataFrame, frequent: np.ndarray, width: int, num: int, den:
     return rows.mapInArrow(run, f"{_SET}, gid long, prefix array<long>, marks binary")
 
 
-def _differ(marks: np.ndarray, wide: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _bits(marks: np.ndarray, wide: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """In how many parity marks the sets of each pair differ; the longer marks of the two are folded onto the shorter."""
     out = np.zeros(len(i), np.int64)
     code = wide[i] << 32 | wide[j]
@@ -167,66 +168,87 @@ def _meeting(posts: DataFrame, num: int, den: int) -> DataFrame:
     return posts.repartition("token").sortWithinPartitions("token", "n").mapInArrow(run, "token long, gid long, n int, members long, lead boolean")
 
 
-def _pairs(num: int, den: int, first: bool):
-    """Pairs of classes in the same list that sizes and marks allow.
+def _forest(i: np.ndarray, j: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Which of the edges (i, j), in order of weight, make the least spanning forest over the parts that nodes are in."""
+    n, part, chosen, live = len(part), part.copy(), [np.zeros(0, np.int64)], np.arange(len(i))
+    while True:
+        x, y = part[i[live]], part[j[live]]
+        apart = x != y
+        live, x, y = live[apart], x[apart], y[apart]
+        if not len(live):
+            return np.sort(np.concatenate(chosen))
+        best = np.full(n, len(i))
+        for side in (x, y):
+            own = np.full(n, len(i))
+            own[side[::-1]] = live[::-1]  # of equal places the last one written stays: the lightest edge
+            best = np.minimum(best, own)
+        pick = np.unique(best[best < len(i)])
+        chosen.append(pick)
+        x, y, label = part[i[pick]], part[j[pick]], np.arange(n)
+        while True:
+            low, new = np.minimum(label[x], label[y]), label.copy()
+            np.minimum.at(new, x, low)
+            np.minimum.at(new, y, low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        part = label[part]
+
+
+def _pairs(num: int, den: int, all_: bool):
+    """Pairs of classes in the same list, not yet in one component, that sizes and marks allow: a spanning forest of each list,
+    of the pairs with the fewest differing marks, or all; and whether the list has more than those.
 
     Members of two groups meet if their sizes do; members of one group meet in the list of its first prefix shingle. The
-    parity marks of two sets differ in at most as many bits as the sets differ in shingles. Of lists beyond SMALL
-    entries, the first run takes one pair in SLOTS, and the second the others, of classes not yet in one component.
+    parity marks of two sets differ in at most as many bits as the sets differ in shingles.
     """
+    names = ["token", "lo", "hi", "own", "gid", "cid", "n", "lead", "root"]
 
-    def test(i, j, x) -> np.ndarray:
+    def test(i, j, x):
         n = x["n"]
-        small, big = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        ok = (den * small >= num * big) & (x["cid"][i] != x["cid"][j])
+        ok = (x["cid"][i] != x["cid"][j]) & (x["root"][i] != x["root"][j])
         ok &= (x["gid"][i] != x["gid"][j]) | x["lead"][i]
         ok &= (x["lo"][i] == x["hi"][i]) | (x["own"][i] != x["own"][j])
-        if not first:
-            ok &= x["root"][i] != x["root"][j]
-        at = np.flatnonzero(ok)
-        i, j = i[at], j[at]
-        differ = _differ(x["marks"], x["wide"], i, j)
+        i, j = i[ok], j[ok]
+        differ = _bits(x["marks"], x["wide"], i, j)
         fits = differ * (den + num) <= (n[i] + n[j]) * (den - num)
-        return i[fits], j[fits]
-
-    def emit(i, j, x, all_: bool):
-        a, b = np.minimum(x["cid"][i], x["cid"][j]), np.maximum(x["cid"][i], x["cid"][j])
-        if not all_:
-            with np.errstate(over="ignore"):
-                slot = mix(a.view(np.uint64) * _SALT + b.view(np.uint64)) % np.uint64(SLOTS) == 0
-            keep = slot if first else ~slot
-            a, b = a[keep], b[keep]
-        u = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], ["a", "b"])
+        return np.stack([i[fits], j[fits], differ[fits] * 1024 // (n[i[fits]] + n[j[fits]])])
+
+    def thin(edges, x, part):
+        """The forest of edges, in an order that all lists with the same members share."""
+        a, b = (f(x["cid"][edges[0]], x["cid"][edges[1]]) for f in (np.minimum, np.maximum))
+        edges = edges[:, np.lexsort((b, a, edges[2]))]
+        return edges[:, _forest(edges[0], edges[1], part)]
+
+    def out(edges, x, more):
+        i, j = edges[0], edges[1]
+        a, b = (f(x["cid"][i], x["cid"][j]) for f in (np.minimum, np.maximum))
+        return pa.RecordBatch.from_arrays([pa.array(x["token"][i]), pa.array(a), pa.array(b), pa.array(more)], ["token", "a", "b", "more"])
 
     def lists(x):
-        """Whole lists, sorted by key and size."""
+        """Whole lists, sorted by key and size: each entry meets the next, the one after it, and so on while sizes allow."""
         m = len(x["n"])
         new = np.concatenate(([True], (x["token"][1:] != x["token"][:-1]) | (x["lo"][1:] != x["lo"][:-1]) | (x["hi"][1:] != x["hi"][:-1])))
-        at = np.flatnonzero(new)
-        run, size = np.cumsum(new) - 1, np.diff(np.append(at, m))
-        little = size <= SMALL
-        # lists cut into blocks are parts of a large one
-        little &= (x["lo"][at] == 0) & (x["hi"][at] == 0) & ~x["cut"][at]
-        if first:
-            found = []
-            for d in range(1, min(SMALL, m)):
-                i = np.flatnonzero(little[run[:-d]] & (run[:-d] == run[d:]))
-                found.append(test(i, i + d, x))
-            if found:
-                yield emit(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), x, True)
-        for k in np.flatnonzero(~little).tolist():
-            lo, hi = at[k], at[k] + size[k]
-            found = []
-            for i in range(lo, hi - 1):
-                to = lo + np.searchsorted(x["n"][lo:hi], x["n"][i] * den // num, side="right")
-                j = np.arange(i + 1, to)
-                if len(j):
-                    found.append(test(np.full(len(j), i), j, x))
-            if found:
-                yield emit(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), x, False)
-
-    names = ["token", "lo", "hi", "own", "cut", "gid", "cid", "n", "lead", "root"]
+        run = np.cumsum(new) - 1
+        part = np.unique(np.stack([run, x["root"]]), axis=1, return_inverse=True)[1].ravel()
+        # nodes are the parts, so that the forest spans components
+        live, edges, many, d = np.arange(m), np.zeros((3, 0), np.int64), np.zeros(run[-1] + 1, np.int64), 0
+        while len(live):
+            d += 1
+            live = live[live + d < m]
+            live = live[(run[live] == run[live + d]) & (den * x["n"][live] >= num * x["n"][live + d])]
+            found = test(live, live + d, x)
+            many += np.bincount(run[found[0]], minlength=len(many))
+            edges = np.concatenate((edges, found), axis=1)
+            if edges.shape[1] > EDGES:
+                if all_:
+                    yield out(edges, x, np.zeros(edges.shape[1], bool))
+                edges = edges[:, :0] if all_ else thin(edges, x, part)
+        if edges.shape[1]:
+            edges = edges if all_ else thin(edges, x, part)
+            kept = np.bincount(run[edges[0]], minlength=len(many))
+            yield out(edges, x, (many > kept)[run[edges[0]]] & (not all_))
 
     def run(batches):
         held = None
@@ -234,7 +256,7 @@ def _pairs(num: int, den: int, first: bool):
             if not b.num_rows:
                 continue
             x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in names}
-            x["lead"], x["cut"], x["n"] = x["lead"].astype(bool), x["cut"].astype(bool), x["n"].astype(np.int64)
+            x["lead"], x["n"] = x["lead"].astype(bool), x["n"].astype(np.int64)
             x["marks"] = np.empty(b.num_rows, object)
             x["marks"][:] = b.column("marks").to_pylist()
             x["wide"] = np.array([len(y) for y in x["marks"]], np.int64)
@@ -253,7 +275,6 @@ def _pairs(num: int, den: int, first: bool):
 
 def _verified(rows: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets link, compared whole."""
-    pairs = cut(pairs.distinct())
     needed = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct().join(reps, "cid")
     needed = cut(needed.select("cid", "did"))
     wanted = needed.select("did").distinct()
@@ -287,8 +308,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A set is the distinct shingles of `width` words, A-Z in lower case; sets link when den * intersection >= num * union.
     Equal sets are one class; classes with the same prefix and size are one group; a prefix shingle lists the groups
-    that have it. A list beyond BLOCK entries is met block by block, in tasks of their own. Every pair that is not
-    already in one component is tried, and verified on whole sets.
+    that have it. A list beyond BLOCK entries is met block by block, in tasks of their own. Of each block a spanning
+    forest of the pairs that may link is verified on whole sets, then one over the components so found and all blocks,
+    then every pair that is left between components.
 
     A null or empty text, or one without words, has no shingles and is its own component, as is a row without an id,
     whose component is null unless it links with others. Rows that share id and text are one class. Other columns are
@@ -307,23 +329,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counts = posts.groupBy("token").agg(F.sum("members").alias("entries"))
     posts = posts.join(counts, "token").drop("members")
 
-    def listed(posts: DataFrame) -> DataFrame:
-        """A row for each list, block pair and class."""
-        rows = posts.withColumn("blocks", F.ceil(F.col("entries") / BLOCK).cast("int")).join(classes.select("gid", "cid", "marks"), "gid")
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        return rows.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", (F.col("blocks") > 1).alias("cut"), "gid", "cid", "n", "lead", "marks")
+    posts = posts.withColumn("blocks", F.ceil(F.col("entries") / BLOCK).cast("int"))
 
-    def tried(lists: DataFrame, first: bool) -> DataFrame:
-        order = ["token", "lo", "hi"]
-        return lists.repartition(*order).sortWithinPartitions(*order, "n").mapInArrow(_pairs(num, den, first), "a long, b long")
+    def listed(posts: DataFrame, across: bool) -> DataFrame:
+        """A row for each list, block pair (or block) and class."""
+        rows = posts.join(classes.select("gid", "cid", "marks"), "gid").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if across else F.col("own"))
+        return rows.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "gid", "cid", "n", "lead", "marks")
 
-    links = cut(_verified(rows, tried(listed(posts).withColumn("root", F.col("cid")), True), reps, width, num, den))
-    large = posts.filter(F.col("entries") > SMALL)
-    if not large.isEmpty():
+    def tried(lists: DataFrame, all_: bool) -> DataFrame:
+        order = ["token", "lo", "hi"]
+        return lists.repartition(*order).sortWithinPartitions(*order, "n").mapInArrow(_pairs(num, den, all_), "token long, a long, b long, more boolean")
+
+    made = cut(tried(listed(posts, False).withColumn("root", F.col("cid")), False))
+    seen = cut(made.select("a", "b").distinct())
+    links = cut(_verified(rows, seen, reps, width, num, den))
+    tokens = made.filter("more").select("token").union(posts.filter("blocks > 1").select("token")).distinct()
+    for all_ in (False, True):
+        if tokens.isEmpty():
+            break
         roots = components(links).toDF("cid", "root")
-        again = listed(large).join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        more = cut(_verified(rows, tried(again, False), reps, width, num, den))
-        links = links.union(more)
+        again = listed(posts.join(tokens, "token", "left_semi"), True).join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        made = cut(tried(again, all_))
+        pairs = cut(made.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"))
+        links, seen = links.union(cut(_verified(rows, pairs, reps, width, num, den))), seen.union(pairs)
+        tokens = cut(made.select("token").distinct())  # of lists that still have pairs between components
     roots = components(links).toDF("cid", "root")
     named = reps.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("did").alias("least"))

@@ -72,6 +72,43 @@ def test_jaccard(spark, odd, empty):
     assert jaccard.jaccard_components(odd).count() == 11 and jaccard.jaccard_components(empty).count() == 0
 
 
+def test_forest():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 30, 200):
+        i, j = rng.integers(0, n, (2, 3 * n))
+        part = np.arange(n)
+        want, root = [], list(range(n))
+        for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+            if root[x] != root[y]:
+                want.append(k)
+                root = [root[x] if r == root[y] else r for r in root]
+        assert jaccard._forest(i, j, part).tolist() == want
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_jaccard_of_a_large_group(spark, monkeypatch, block):
+    """Near copies about the threshold, in whole lists and in lists cut into blocks, by brute force."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    texts = []
+    for g in range(3):
+        base = [f"g{g}w{k}" for k in range(90)]
+        for _ in range(60):
+            t = list(base)
+            for at in rng.integers(0, 90, rng.integers(0, 4)):
+                t[at] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join(t))
+    sets = [{tuple(w[p : p + 3]) for p in range(len(w) - 2)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and 100 * len(x & sets[j]) >= 90 * len(x | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(frame(spark, texts)).collect()}
+    assert got == {i + 1: r + 1 for i, r in enumerate(root)}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(20)] + [(100, 101), (102, 101), (7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -221,9 +258,8 @@ def test_lines_of_real_documents(spark):
             assert any(i != j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in group)
 
 
-def test_lines_inside_a_band(spark, monkeypatch):
-    """Pairs of alike lines in a band with lines unlike them are found, however the band is cut into blocks."""
-    monkeypatch.setattr(lines, "BLOCK", 4)
+def test_lines_inside_a_band(spark):
+    """Pairs of alike lines in a band with lines unlike them are found."""
     rng = np.random.default_rng(8)
     word = lambda n: "".join(rng.choice(list("bcdfghjklmnp"), n))
     base = [word(60) for _ in range(12)]

@@ -13,7 +13,7 @@ from .components import components
 
 WIDTH, NUM, DEN = 3, 90, 100  #: words in a shingle; two sets link when DEN * intersection >= NUM * union
 COMMON = 16_384  #: shingles known as frequent, which come last in the order of prefixes
-MARKS = (128, 1 << 17)  #: fewest and most parity marks of a set; between them, the power of two above 8 times the bits that may differ
+MARKS = (128, 1 << 17)  #: fewest and most parity marks of a set; between them, the power of two above 4 times the bits that may differ
 BLOCK = 1024  #: entries of a list met at once; a larger list is met block by block
 EDGES = 1 << 21  #: pairs held before they are thinned out to a forest
 BROADCAST = 1_000_000  #: ids sent to every task at most
@@ -104,7 +104,7 @@ def _described(rows: DataFrame, frequent: np.ndarray, width: int, num: int, den:
                 groups = [_names(np.concatenate((h, np.array([len(s)], np.uint64))))[0] for h, s in zip(heads, sets, strict=True)]
                 marks = []
                 for s in sets:
-                    width_ = min(max(MARKS[0], 1 << (16 * len(s) * (den - num) // (den + num)).bit_length()), MARKS[1])
+                    width_ = min(max(MARKS[0], 1 << (8 * len(s) * (den - num) // (den + num)).bit_length()), MARKS[1])
                     bits = (np.bincount((mix(s + _SALT) & np.uint64(width_ - 1)).astype(np.int64), minlength=width_) & 1).astype(np.uint8)
                     marks.append(np.packbits(bits).tobytes())
                 lens = np.array([len(h) for h in heads], np.int64)
@@ -136,7 +136,7 @@ def _bits(marks: np.ndarray, wide: np.ndarray, i: np.ndarray, j: np.ndarray) ->
 
 
 def _meeting(posts: DataFrame, num: int, den: int) -> DataFrame:
-    """The posts (token, gid, n, lead) that some other post of their token, or another member of their group, is near in size.
+    """The posts, dealt out by token, that some other post of their token, or another member of their group, is near in size.
 
     In order of size within a token, that is a neighbour if any; only one row is kept in mind.
     """
@@ -165,7 +165,7 @@ def _meeting(posts: DataFrame, num: int, den: int) -> DataFrame:
         if last is not None:
             yield out(last, last["go"])
 
-    return posts.repartition("token").sortWithinPartitions("token", "n").mapInArrow(run, "token long, gid long, n int, members long, lead boolean")
+    return posts.select(*names).sortWithinPartitions("token", "n").mapInArrow(run, "token long, gid long, n int, members long, lead boolean")
 
 
 def _forest(i: np.ndarray, j: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -255,7 +255,8 @@ def _pairs(num: int, den: int, all_: bool):
         for b in batches:
             if not b.num_rows:
                 continue
-            x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in names}
+            # at first each class is a component of its own
+            x = {c: b.column(c if c in b.schema.names else "cid").to_numpy(zero_copy_only=False) for c in names}
             x["lead"], x["n"] = x["lead"].astype(bool), x["n"].astype(np.int64)
             x["marks"] = np.empty(b.num_rows, object)
             x["marks"][:] = b.column("marks").to_pylist()
@@ -321,10 +322,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = sets.filter("n > 0").groupBy("cid", "sid", "n").agg(F.min("did").alias("did"), F.first("gid").alias("gid"), F.first("prefix").alias("prefix"), F.first("marks").alias("marks"))
     classes = cut(classes)
     reps = classes.select("cid", "did")
-    groups = classes.groupBy("gid", "n").agg(F.first("prefix").alias("prefix"), F.count("*").alias("members"))
-    lead = F.col("token") == F.element_at("prefix", 1)
-    posts = groups.select(F.explode("prefix").alias("token"), "gid", "n", "prefix", "members")
-    posts = posts.select("token", "gid", "n", "members", lead.alias("lead"))
+    token = F.explode("prefix").alias("token")
+    posts = classes.select("gid", "n", F.element_at("prefix", 1).alias("first"), token).select("token", "gid", "n", (F.col("token") == F.col("first")).alias("lead"))
+    # the members of a group are counted where its posts go anyway, so prefixes aren't shuffled another time
+    posts = posts.repartition("token").groupBy("token", "gid", "n", "lead").agg(F.count("*").alias("members"))
     posts = cut(_meeting(posts, num, den))
     counts = posts.groupBy("token").agg(F.sum("members").alias("entries"))
     posts = posts.join(counts, "token").drop("members")
@@ -341,7 +342,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         order = ["token", "lo", "hi"]
         return lists.repartition(*order).sortWithinPartitions(*order, "n").mapInArrow(_pairs(num, den, all_), "token long, a long, b long, more boolean")
 
-    made = cut(tried(listed(posts, False).withColumn("root", F.col("cid")), False))
+    made = cut(tried(listed(posts, False), False))
     seen = cut(made.select("a", "b").distinct())
     links = cut(_verified(rows, seen, reps, width, num, den))
     tokens = made.filter("more").select("token").union(posts.filter("blocks > 1").select("token")).distinct()
@@ -349,7 +350,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if tokens.isEmpty():
             break
         roots = components(links).toDF("cid", "root")
-        again = listed(posts.join(tokens, "token", "left_semi"), True).join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        open_ = cut(posts.join(tokens, "token", "left_semi"))
+        # few lists are left, and then the classes stay where they are
+        open_ = F.broadcast(open_) if open_.count() <= BROADCAST else open_
+        again = listed(open_, True).join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         made = cut(tried(again, all_))
         pairs = cut(made.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"))
         links, seen = links.union(cut(_verified(rows, pairs, reps, width, num, den))), seen.union(pairs)

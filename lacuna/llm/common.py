@@ -18,12 +18,13 @@ _PIECE = 1 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of this machine only where none is set, as in tests."""
+    """The shared folder the cluster names; a folder of this machine only where none is set and all runs on this machine."""
     sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lacuna-checkpoint-"))
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local") or sc.master.startswith("local-cluster") and not folder:
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that they share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lacuna-checkpoint-"))
     return sc.getCheckpointDir()
 
 

@@ -7,18 +7,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from .bpe import _batches
+from .common import every
 
-SAMPLE_DOCS, SAMPLE_CHARS, TEXT_CHARS, MAX_LANGS = 120, 30_000, 1_500, 64  #: bounds of the labelled sample, per language
-CLASSES = 64  #: characters told apart; the last class is padding, class 0 every character the samples lack
-SEGMENT = 512  #: a text is parsed in segments of so many characters, the same for every language
+SAMPLE_DOCS, SAMPLE_CHARS, TEXT_CHARS, MAX_LANGS = 120, 30_000, 250, 256  #: bounds of the labelled sample: many short passages of each language
+CLASSES = 256  #: characters told apart at most; the last class is padding, class 0 every other character, which matches none
+SEGMENT = 512  #: characters of a text that are parsed side by side with others
 
 
-def automaton(sample: np.ndarray) -> np.ndarray:
+def automaton(sample: np.ndarray, classes: int) -> np.ndarray:
     """Suffix automaton of a sequence of classes, as a table with one row of successors per state; -1 where there is none."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -45,7 +46,7 @@ def automaton(sample: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(nxt), CLASSES), -1, np.int32)
+    table = np.full((len(nxt), classes), -1, np.int32)
     for s, moves in enumerate(nxt):
         if moves:
             table[s, list(moves)] = list(moves.values())
@@ -69,50 +70,66 @@ class Model:
         coded = [codes(t.lower()) for _, t in samples]
         seen, counts = np.unique(np.concatenate([*coded, np.zeros(0, np.uint32)]), return_counts=True)
         kept = seen[np.lexsort((seen, -counts))][: CLASSES - 2]
+        self.n = len(kept) + 2
         self.classes = np.zeros(0x110000, np.uint8)
         self.classes[kept] = np.arange(1, len(kept) + 1)
         upper = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000 and chr(c).lower() != chr(c) and len(chr(c).lower()) == 1]
         self.classes[upper] = self.classes[[ord(chr(c).lower()) for c in upper]]
         self.tables, self.bits = [], []
         for x in coded:
-            table = automaton(self.classes[x])
-            ends = table < 0
-            moves = np.where(ends, np.maximum(table[0], 0)[None, :], table).astype(np.int64) * CLASSES
-            moves = moves << 1 | ends
-            moves[:, CLASSES - 1] = (np.arange(len(table)) * CLASSES) << 1
-            self.tables.append(moves.astype(np.int32).ravel())
+            table = automaton(self.classes[x], self.n)
+            table[:, 0] = -1
+            # one more state, of no open phrase; from there, or where a match ends, a character opens a phrase, which is over
+            # at once if the sample lacks it
+            closed = len(table)
+            opened = np.where(table[0] < 0, closed, table[0]).astype(np.int64)
+            moves = np.concatenate((np.where(table < 0, opened[None, :], table), opened[None, :])) * self.n
+            moves = moves << 1 | np.concatenate((table < 0, np.ones((1, self.n), bool)))
+            moves[:, self.n - 1] = (np.arange(closed + 1) * self.n) << 1
+            self.tables.append(moves.astype(np.int64).ravel() if moves.max() > 2**31 - 1 else moves.astype(np.int32).ravel())
             self.bits.append(np.log2(len(x) + 2))
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """For each text and language the number of phrases of a greedy parse, times the bits of a pointer into the sample.
 
         A phrase is the longest match, from where the last one ended, that occurs in the sample; a character that
-        doesn't occur is a phrase.
+        doesn't occur is a phrase. Segments are parsed side by side as if no phrase were open, and again from the state
+        that the one before ended in, until that is the state they were parsed from.
         """
         coded = [self.classes[codes(t)] for t in texts]
         lens = np.array([len(x) for x in coded], np.int64)
         n_lanes = -(-lens // SEGMENT)
         owner = np.repeat(np.arange(len(texts)), n_lanes)
-        lanes = np.full((len(owner), SEGMENT), CLASSES - 1, np.uint8)
+        lanes = np.full((len(owner), SEGMENT), self.n - 1, np.uint8)
         at = 0
         for x, n in zip(coded, n_lanes.tolist(), strict=True):
             lanes[at : at + n].reshape(-1)[: len(x)] = x
             at += n
-        size = (lanes != CLASSES - 1).sum(axis=1)
-        order = np.argsort(-size, kind="stable")
-        active = np.searchsorted(-size[order], -np.arange(SEGMENT), side="left")
-        steps = np.ascontiguousarray(lanes[order].T).astype(np.int32)
+        first = np.concatenate((np.ones(min(1, len(owner)), bool), owner[1:] != owner[:-1]))
+        size = (lanes != self.n - 1).sum(axis=1)
         out = np.zeros((len(texts), len(self.langs)))
         for k, table in enumerate(self.tables):
-            state, count = np.zeros(len(owner), np.int32), np.ones(len(owner), np.int32)
-            for t in range(SEGMENT):
-                m = active[t]
-                if not m:
-                    break
-                v = table[state[:m] + steps[t, :m]]
-                count[:m] += v & 1
-                state[:m] = v >> 1
-            out[:, k] = np.bincount(owner[order], weights=count, minlength=len(texts)) * self.bits[k]
+            closed = len(table) - self.n
+            begin = np.full(len(owner), closed, table.dtype)
+            end, count = np.zeros_like(begin), np.zeros(len(owner), np.int64)
+            todo = np.arange(len(owner))
+            while len(todo):
+                order = todo[np.argsort(-size[todo], kind="stable")]
+                active = np.searchsorted(-size[order], -np.arange(SEGMENT), side="left")
+                steps = np.ascontiguousarray(lanes[order].T).astype(table.dtype)
+                state, found = begin[order], np.zeros(len(order), np.int64)
+                for t in range(SEGMENT):
+                    m = active[t]
+                    if not m:
+                        break
+                    v = table[state[:m] + steps[t, :m]]
+                    found[:m] += v & 1
+                    state[:m] = v >> 1
+                end[order], count[order] = state, found
+                want = np.where(first, closed, np.concatenate((end[:1], end[:-1])))
+                todo = np.flatnonzero(want != begin)
+                begin = want.astype(table.dtype)
+            out[:, k] = np.bincount(owner, weights=count, minlength=len(texts)) * self.bits[k]
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -147,10 +164,12 @@ def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     span, keep = 1 << 40, F.lit(False)
     for lang, n in counts:
         keep = keep | ((F.col("lang") == lang) & (F.pmod(F.col("h"), F.lit(span)) < int(span * min(1.0, 2 * SAMPLE_DOCS / n))))
+    w = Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(span)), "text")
+    few = df.filter(keep).select("lang", "h", F.substring("text", 1, TEXT_CHARS).alias("text")).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= SAMPLE_DOCS)
     found: dict[str, list] = {lang: [] for lang, _ in counts}
-    for r in df.filter(keep).select("lang", "h", F.substring("text", 1, TEXT_CHARS).alias("text")).limit(4 * SAMPLE_DOCS * MAX_LANGS).collect():
-        found[r["lang"]].append((r["h"] % span, r["text"]))
-    return tuple((lang, "\n".join(t for _, t in sorted(rows)[:SAMPLE_DOCS])[:SAMPLE_CHARS]) for lang, rows in found.items() if rows)
+    for r in few.collect():
+        found[r["lang"]].append((r["k"], r["text"]))
+    return tuple((lang, "\n".join(t for _, t in sorted(rows))[:SAMPLE_CHARS]) for lang, rows in found.items() if rows)
 
 
 def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -163,7 +182,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str
     at = next((k for k, c in enumerate(docs.columns) if keep and c == text_col and docs.schema[k].dataType == StringType()), -1)
     if keep:
         # the text of a row is sent once
-        text = [*(text if at < 0 else []), F.struct(*docs.columns).alias("row")]
+        text = [*(text if at < 0 else []), F.struct(*every(docs)).alias("row")]
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text)
 
     def run(batches):

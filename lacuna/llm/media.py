@@ -20,10 +20,9 @@ FRAME, HOP, MELS, BINS = 256, 144, 16, 4
 HIGH_DB, LOW_DB = 1.0, 0.25
 
 _MEDIA = "doc_id long, n_bytes long, media binary"
-_SEGMENT = "struct<start_s:double,end_s:double,tensor:array<float>>"
 _FEATURES = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    f"media_sha256 string, n_frames long, segments array<{_SEGMENT}>, feature string"
+    "media_sha256 string, n_frames long, segments binary, feature string"
 )
 
 
@@ -106,6 +105,25 @@ def tensor_array(values: list[np.ndarray]) -> pa.ExtensionArray:
     return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(flat, pa.float32()), BINS * MELS))
 
 
+def store_segments(found: list[tuple[float, float, np.ndarray]]) -> bytes:
+    """Spans and tensors of the segments of a file, as an Arrow stream."""
+    columns = [pa.array([x[k] for x in found], pa.float64()) for k in (0, 1)]
+    batch = pa.record_batch([*columns, tensor_array([x[2] for x in found])], ["start_s", "end_s", "tensor"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as f:
+        f.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def load_segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and tensors (segments x BINS x MELS) of a stored stream."""
+    table = pa.ipc.open_stream(data).read_all()
+    tensors = table["tensor"].combine_chunks() if table.num_rows else tensor_array([])
+    tensors = tensors.chunk(0) if isinstance(tensors, pa.ChunkedArray) else tensors
+    flat = tensors.to_numpy_ndarray() if len(tensors) else np.zeros((0, BINS, MELS), np.float32)
+    return table["start_s"].to_numpy(), table["end_s"].to_numpy(), flat
+
+
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One stored file per row: doc_id, n_bytes, media.
 
@@ -122,18 +140,22 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Features of the files of `to_media`, from their stored bytes alone. Equal files give equal features."""
+    """Features of the files of `to_media`, from their stored bytes alone. Equal files give equal features.
+
+    segments is an Arrow stream of spans (start_s, end_s) and fixed-shape tensors; feature sums up what is read back from it.
+    """
 
     def row(n: int, m: bytes) -> tuple:
         payload = load(m)
         frames, found = features(payload)
-        spans = ",".join(f"{a:.4f}-{b:.4f}" for a, b, _ in found)
-        crc = zlib.crc32(b"".join(t.tobytes() for *_, t in found))
-        segs = [{"start_s": a, "end_s": b, "tensor": t.ravel()} for a, b, t in found]
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), frames, segs, f"frames={frames};segments={len(found)};tensors={crc:08x};spans={spans}"
+        segs = store_segments(found)
+        starts, ends, tensors = load_segments(segs)
+        spans = ",".join(f"{a:.4f}-{b:.4f}" for a, b in zip(starts, ends, strict=True))
+        crc = zlib.crc32(tensors.tobytes())
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), frames, segs, f"frames={frames};segments={len(starts)};tensors={crc:08x};spans={spans}"
 
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-    kinds += [pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("tensor", pa.list_(pa.float32()))])), pa.string()]
+    kinds += [pa.binary(), pa.string()]
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "segments", "feature"]
 
     def run(batches):
@@ -148,4 +170,4 @@ def media_features(media: DataFrame) -> DataFrame:
 
 def op4_media(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return media_features(to_media(docs)).drop("segments")
+    return media_features(to_media(docs))

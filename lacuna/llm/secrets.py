@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, every
 
 #: Fixed values of the contract: forms of known secrets, and the least length of what counts.
 _KEY = r"(?i:password|passwd|secret|token|api_?key)"
@@ -130,7 +130,7 @@ def scan(docs: DataFrame, keep: bool = False, id_col: str = "doc_id", text_col:
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kept = ["__row"] if keep else []
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), *([F.struct(*docs.columns).alias("__row")] if keep else []), text.alias("__t"))
+    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), *([F.struct(*every(docs)).alias("__row")] if keep else []), text.alias("__t"))
     t = F.col("__t")
     long = lambda kind: lambda v: F.length(v) >= LEAST[kind]
     assign = _found(t, t.rlike(ASSIGN), _spans(t, ASSIGN, "assign", long("assign"), 2))

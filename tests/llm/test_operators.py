@@ -127,9 +127,58 @@ def test_langid(spark, odd, empty):
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd.filter("doc_id < 4"), langid.sample(train), keep=True).collect()}
     assert got == {1: "und", 2: "und", 3: "und"}
     assert langid.identify(empty, langid.sample(empty)).count() == 0
-    # a phrase is a longest match in the sample
+    # a phrase is a longest match in the sample, or a character that it lacks
     m = langid.model((("x", "abcabd"), ("y", "zzzz")))
-    assert np.rint(m.phrases(["abcabdabc"])[0] / np.array(m.bits)).tolist() == [2, 10]
+    assert np.rint(m.phrases(["abcabdabc"])[0] / np.array(m.bits)).tolist() == [2, 9]
+
+
+def test_phrases(monkeypatch):
+    """Against a naive parse, with texts longer than a segment."""
+    monkeypatch.setattr(langid, "SEGMENT", 16)
+    rng = np.random.default_rng(4)
+    sample = "".join(rng.choice(list("abcd"), 300))
+    m = langid.Model((("x", sample), ("y", "éclair")))
+    texts = ["abqcd", "qqqq", "a", *("".join(rng.choice(list("abcdqz"), n, p=[0.24, 0.24, 0.24, 0.24, 0.02, 0.02])) for n in (15, 16, 17, 100, 500))]
+
+    def naive(t, sample):
+        n = at = 0
+        while at < len(t):
+            to = at + 1
+            while to < len(t) and t[at : to + 1] in sample:
+                to += 1
+            at, n = to, n + 1
+        return n
+
+    got = m.phrases(texts) / np.array(m.bits)
+    assert np.rint(got).astype(int).tolist() == [[naive(t, sample), naive(t, "éclair")] for t in texts]
+
+
+def test_held_out_accuracy(spark):
+    found = langid.op3_langid(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    right = found.filter("held_out and lang is not null and lang_pred != 'und'").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert right >= 0.98, right
+
+
+def test_names_with_dots(spark):
+    import corpus_pipeline as p
+
+    df = spark.createDataFrame([(1, "the text of a.b", "en", 1)], "doc_id long, text string, lang string, `a.b` int")
+    for stage in (p.lines, p.near_copies, p.secrets):
+        assert stage(spark, df, "").collect() == df.collect()
+
+
+@pytest.mark.parametrize("name", ["op1_substring", "op2_jaccard"])
+def test_oracles(spark, name):
+    import duckdb
+
+    from lacuna.llm import registry
+
+    d = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    out = registry.QUERIES[name](spark, d)
+    want = c.sql(registry.ORACLES[name])
+    assert out.columns == want.columns and sorted(map(tuple, out.collect())) == sorted(want.fetchall())
 
 
 def test_media(odd, empty):
@@ -137,7 +186,10 @@ def test_media(odd, empty):
         data = (r["text"] or "").encode()
         pad = data + b"\xff" * (max(1, -(-len(data) // 576)) * 576 - len(data))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-32:]))
-        assert all(len(s["tensor"]) == media.BINS * media.MELS for s in r["segments"])
+        starts, ends, tensors = media.load_segments(r["segments"])
+        assert tensors.shape == (len(starts), media.BINS, media.MELS) and (ends > starts).all()
+        want = media.features(pad)[1]
+        assert starts.tolist() == [x[0] for x in want] and all((t == x[2]).all() for t, x in zip(tensors, want, strict=True))
     assert media.to_media(empty).count() == 0
     t = media.tensor_array([np.zeros((media.BINS, media.MELS), np.float32)] * 3)
     assert t.type.shape == [media.BINS, media.MELS] and len(t) == 3

@@ -78,13 +78,13 @@ def compute_msrs(df: DataFrame, question: Twig, optimize: bool = True, null_is_p
 
     optimize drops incompatible rows early and joins inner where neither changes the answer.
     """
-    options = Options(optimize=optimize, preserve_unmatched=preserve_unmatched)
+    options = Options(optimize=optimize, preserve_unmatched=preserve_unmatched, unordered=True)
     return msr(*rewrite_with_context(df, question, options), null_is_picky=null_is_picky, branch_aware=branch_aware)
 
 
-def explain(df: DataFrame, question: Twig, **options) -> DataFrame:
+def explain(df: DataFrame, question: Twig, optimize: bool = True, preserve_unmatched: bool = False, **options) -> DataFrame:
     """compute_msrs with the text of each operator beside its number."""
-    o = Options(optimize=True)
+    o = Options(optimize=optimize, preserve_unmatched=preserve_unmatched, unordered=True)
     found = msr(*rewrite_with_context(df, question, o), **options)
     texts = F.create_map(*(F.lit(x) for kv in o.operators.items() for x in kv))
     return found.withColumn("operators", F.transform(PICKY, lambda i: texts[i]))

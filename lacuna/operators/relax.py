@@ -12,7 +12,7 @@ from ..functions.question import Node
 from ..plans.catalyst import Catalyst
 
 TRANSPARENT = {"SubqueryAlias", "View", "ReturnAnswer", "LocalLimit", "ResolvedHint"}
-KEPT = {"Sort", "Repartition", "RepartitionByExpression", "RebalancePartitions", "Window", "Sample", "EventTimeWatermark"}
+KEPT = {"Sort", "Repartition", "RepartitionByExpression", "RebalancePartitions", "Window", "EventTimeWatermark"}
 Question = dict[int, Node]  #: by the id of an attribute
 
 
@@ -46,6 +46,7 @@ class Context:
 class Options:
     optimize: bool = False
     preserve_unmatched: bool = False
+    unordered: bool = False  #: nothing looks at the order of rows, so sorts are left out
     operators: dict[str, str] = field(default_factory=dict)
 
 
@@ -159,6 +160,8 @@ class Relaxer:
             return self.joined(node, oid, children, question, early)
         if kind == "Union":
             return self.united(node, oid, children, question, early, valued)
+        if kind == "Sort" and self.options.unordered:
+            return self.relax(children[0], question, early, valued)
         if kind in KEPT:
             below = question
             if kind == "Window":
@@ -166,18 +169,23 @@ class Relaxer:
                 below = {k: v for k, v in question.items() if k not in {c.id(e) for e in outer}}
                 for k, v in self.through(outer, question).items():
                     below[k] = below[k].merged(v) if k in below else v
-            df, x = self.relax(children[0], below, early and kind not in ("Window", "Sample"), valued)
+            df, x = self.relax(children[0], below, early and kind != "Window", valued)
             return c.replaced(node, c.analysed(df)), x
         raise NotImplementedError(f"no relaxed form of operator {kind}")
 
     def generate(self, node, oid, child, question, early, valued) -> tuple[DataFrame, Context]:
         c, generator = self.c, node.generator()
-        if c.kind(generator) != "Explode":
+        outs = c.items(node.generatorOutput())
+        asked = [question[c.id(o)] for o in outs if c.id(o) in question]
+        below = {k: v for k, v in question.items() if k not in {c.id(o) for o in outs}}
+        if c.kind(generator) in ("Explode", "PosExplode"):
+            if (flat := question.get(c.id(outs[-1]))) is not None:
+                self.place(below, generator.child(), Node("", flat.min, flat.max, children=(replace(flat, name="element", min=1, max=-1),)))
+        elif c.kind(generator) == "Inline":
+            if asked:
+                self.place(below, generator.child(), Node("", children=(Node("element", children=tuple(asked)),)))
+        else:
             raise NotImplementedError(f"no relaxed form of generator {c.kind(generator)}")
-        out = c.items(node.generatorOutput())[0]
-        below = {k: v for k, v in question.items() if k != c.id(out)}
-        if (flat := question.get(c.id(out))) is not None:
-            self.place(below, generator.child(), Node("", flat.min, flat.max, children=(replace(flat, name="element", min=1, max=-1),)))
         # an inner one evaluates compatibility again, so no row below it may go
         df, x = self.relax(child, below, early and node.outer(), valued)
         array = c.column(generator.child())

@@ -124,6 +124,44 @@ def msr_explode(spark, d):
     return _msr(df.filter("part <> 'URGENT'"), {"part": "URGENT"})
 
 
+@query(_sql({"0004": "s", "0001": "part <> 'URGENT'"}, _PARTS, "part = 'URGENT'"))
+def msr_posexplode(spark, d):
+    df = orders(spark, d).filter("o_totalprice > 200000").select("o_orderkey", F.posexplode(F.split("o_orderpriority", "-")).alias("pos", "part"))
+    return _msr(df.filter("part <> 'URGENT'"), {"part": "URGENT"})
+
+
+_INLINED = "SELECT o_orderkey AS k, o_totalprice > 250000 AS a, o_orderpriority = '1-URGENT' AS c FROM orders"
+
+
+@query(_sql({"0001": "a"}, _INLINED, "c"))
+def msr_inline(spark, d):
+    parts = F.array(F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price")))
+    return _msr(orders(spark, d).select("o_orderkey", F.inline(parts)).filter("price > 250000"), {"priority": "1-URGENT"})
+
+
+@query(_sql({"0002": "a"}, _INLINED, "c"))
+def msr_sort(spark, d):
+    return _msr(orders(spark, d).filter("o_totalprice > 250000").orderBy("o_totalprice"), URGENT)
+
+
+@query(_sql({"0001": "p > 300000"}, "SELECT o_totalprice AS p, o_orderstatus = 'F' AND l_quantity > 49 AS c FROM orders JOIN lineitem ON o_orderkey = l_orderkey", "c", "(k)").replace("count(DISTINCT (k))", "count(*)"))
+def msr_right_join(spark, d):
+    o, l = orders(spark, d), lineitem(spark, d)  # noqa: E741
+    return _msr(l.join(o, o.o_orderkey == l.l_orderkey, "right").filter("o_totalprice > 300000"), {"o_orderstatus": "F", "l_quantity": "gtgtgtgt49"})
+
+
+@query(_sql({"0002": "a"}, "SELECT c_nationkey AS k, c_acctbal > 0 AS a, c_mktsegment = 'BUILDING' AS c FROM customer", "c"))
+def msr_collect_set(spark, d):
+    df = customer(spark, d).filter("c_acctbal > 0").groupBy("c_nationkey").agg(F.collect_set("c_mktsegment").alias("segments"))
+    return _msr(df, {"segments": {"element": "BUILDING"}})
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority IS NOT NULL AND o_totalprice > 400000")
+def twig_exists(spark, d):
+    nested = orders(spark, d).select("o_orderkey", F.struct("o_totalprice", "o_orderpriority").alias("deep"))
+    return fetch_items(nested, twig({"//o_orderpriority": "", "//o_totalprice": "gtgtgtgt400000"})).select("o_orderkey")
+
+
 @query(_sql({"0004": "s"}, _PARTS, "part = 'URGENT'"))
 def msr_explode_outer(spark, d):
     df = orders(spark, d).filter("o_totalprice > 200000").select("o_orderkey", F.explode_outer(F.split("o_orderpriority", "-")).alias("part"))

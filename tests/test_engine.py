@@ -192,7 +192,7 @@ def test_limit_and_distinct(left):
 
 def test_unknown_operator(left):
     with pytest.raises(NotImplementedError):
-        compute_msrs(left.select(F.posexplode(F.split("key", ""))), twig({"col": "1"}))
+        compute_msrs(left.select(F.stack(F.lit(2), F.col("key"), F.col("key"))), twig({"col0": "1"}))
 
 
 def test_backtrace(people, spark):
@@ -224,3 +224,17 @@ def test_entry(spark):
     spec.loader.exec_module(module)
     assert module.entry(spark).columns == ["picky", "compatible_count"]
     assert set(module.oracle_sql()) <= set(module.queries())
+
+
+def test_sorts_are_left_out_and_samples_refused(spark):
+    df = spark.range(100).filter("id > 50").orderBy("id")
+    found = compute_msrs(df, twig({"id": "7"}))
+    assert "Sort" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["pickyOperators"], r["compatibleCount"]) for r in found.collect()] == [(["0002"], 1)]
+    with pytest.raises(NotImplementedError):
+        compute_msrs(spark.range(100).sample(0.1, 3), twig({"id": "7"}))
+
+
+def test_explain_takes_all_options(spark):
+    rows = explain(spark.range(9).filter("id > 5"), twig({"id": "3"}), optimize=False, preserve_unmatched=True, branch_aware=True).collect()
+    assert len(rows) == 1 and rows[0]["pickyOperators"] == ["0001"] and "Filter" in rows[0]["operators"][0]

@@ -259,10 +259,33 @@ def test_brown(spark, odd, empty):
     assert brown.score(odd).count() == 11
     assert brown.score(empty).count() == 0
     pairs = np.array([[0, 9, 0, 9, 1], [9, 0, 9, 0, 1], [0, 9, 0, 9, 1], [9, 0, 9, 0, 1], [1, 1, 1, 1, 0]])
-    cls = brown.exchange(pairs.astype(float), classes=3)
+    cls, counts = brown.exchange(pairs.astype(float), classes=3)
+    one = np.eye(3)[cls]
+    assert (counts == one.T @ pairs @ one).all()
     assert cls[0] == cls[2] != cls[1] == cls[3] and cls[4] == 2
 
 
+def test_brown_placement(spark, monkeypatch):
+    """Words outside the core take the class of words used alike, and the model's probabilities add up to 1."""
+    monkeypatch.setattr(brown, "ITEMS", 8)
+    monkeypatch.setattr(brown, "CLASSES", 4)
+    rng = np.random.default_rng(7)
+    nouns, verbs = [f"n{k}x" for k in range(40)], [f"v{k}x" for k in range(40)]
+    weight = 1 / np.arange(1, 41)
+    pick = lambda words: str(rng.choice(words, p=weight / weight.sum()))
+    docs = frame(spark, [" ".join(pick(w) for _ in range(20) for w in (nouns, verbs)) for _ in range(400)])
+    m, _ = brown.train(docs.select("doc_id", F.encode("text", "UTF-8").alias("data")))
+    cls = dict(zip(m.head.tolist(), m.word_class.tolist(), strict=True))
+    of = lambda words: [cls[int(h)] for h in brown.tokens([" ".join(words).encode()])[0][:-1]]
+    assert len(m.rest) >= 60 and len(set(of(nouns[:4]) + of(verbs[:4]))) >= 2
+    n, v = set(of(nouns)) - {-1}, set(of(verbs)) - {-1}
+    assert not n & v
+    assert np.allclose((10**m.move).sum(axis=1), 1)
+    own = m.word_class >= 0
+    mass = np.bincount(m.word_class[own], weights=10 ** m.word_emit[own], minlength=m.k) + np.bincount(m.group_class, weights=10**m.group_emit, minlength=m.k)
+    assert np.allclose(mass, 1)
+
+
 def test_lines(spark, odd, empty):
     a, b = "This is a long enough line about foxes and dogs.", "This is a long enough line about foxes and dogs!"
     df = frame(spark, [f"{a}\nshort\n{a}", f"other words stand here instead\n{b}\nshort", None, ""])

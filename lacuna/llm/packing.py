@@ -17,6 +17,7 @@ from .common import Table, join_texts, split_words
 
 WINDOW, END = 4096, 2
 SHARD_TOKENS = 1 << 20  #: a shard is closed by the document that takes it beyond this
+TASK_BYTES = 1 << 21  #: small input partitions are packed together, so that each task has about this much text or more
 K1, B = 1.2, 0.75
 CACHE = 1_500_000  #: words a worker remembers the ids of
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -182,7 +183,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     """One row per piece. A sequence is a window of one shard: a run of the documents of one input partition.
 
     A null or empty text is its end id alone. Null ids and repeated rows are packed like others; other columns are left
-    out. Only the last sequence of a shard is short of the window, and is padded.
+    out. Only the last sequence of a shard is short of the window, and is padded. Neighbouring input partitions are taken
+    together, without a shuffle, until they hold some hundred windows, so that padding doesn't depend on file layout.
     """
     if path is None:
         import public_tokenizers as P
@@ -225,6 +227,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
         if docs:
             yield shard()
 
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    docs = docs.coalesce(min(2**31 - 1, max(1, total // TASK_BYTES)))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("data")).mapInArrow(run, _SCHEMA)
 
 

@@ -231,6 +231,13 @@ def test_packing(spark, odd, empty):
     assert sum(v != 4096 for v in by.values()) <= 1 and packing.pack_documents(empty).count() == 0
 
 
+def test_packing_of_many_partitions(spark):
+    """Padding doesn't depend on how many partitions hold the documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(64, "doc_id")
+    r = packing.pack_documents(docs).agg(F.sum("length"), F.count_distinct("sequence_id")).first()
+    assert r[0] / (r[1] * packing.WINDOW) >= 0.98
+
+
 def test_packing_neighbours():
     """Every document that shares a term with the seed is a neighbour, in the order of the whole query's BM25."""
     rng = np.random.default_rng(5)

@@ -19,7 +19,7 @@ ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234
 #: Of written words: sum of squares of the shares of characters, at least; that sum times the size of a narrow alphabet;
 #: and the sum of cubes, by the square of the sum of squares.
 TEXT_2, TEXT_NARROW, TEXT_3 = 0.0655, 1.73, 1.352
-ALPHA, RATE = 0.01, 0.05  #: level at which a test rejects randomness; share of false discoveries
+LOST, RATE = 0.01, 0.05  #: share of random tokens among those the battery rejects, and of written ones among those found
 BINS = 2  #: bins of p-values per factor of two
 
 
@@ -69,11 +69,11 @@ def encoding(token: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """Struct (p_uniform, p_runs, p_serial, p_text) of a token, null for one without an encoding.
+    """Struct (p_uniform, p_runs, p_serial, p_random, p_text) of a token, null for one without an encoding.
 
     The first three are levels at which its symbols, as numbers in the alphabet, look random: chi-squared against
-    uniform shares, runs above and below the middle, serial correlation. p_text is the chance that written words are as
-    uniform as the token; it falls with length.
+    uniform shares, runs above and below the middle, serial correlation; p_random combines them by Fisher's method.
+    p_text is the chance that written words are as uniform as the token; it falls with length.
     """
     kind = encoding(token)
     symbols = F.lit(ALPHABETS["base64"])
@@ -105,12 +105,19 @@ def battery(token: Column) -> Column:
         two = lambda z: 2 * _normal(-F.abs(z))
         return F.struct((1 - _normal(wilson)).alias("p_uniform"), two(z_runs).alias("p_runs"), two(z_serial).alias("p_serial"), _normal((squares - mean_2) / F.sqrt(var_2)).alias("p_text"))
 
+    def combined(v):
+        # minus the sum of logarithms of three levels, if random, is over y with chance exp(-y) (1 + y + y * y / 2)
+        return {"p_random": F.exp(-v["y"]) * (1 + v["y"] + v["y"] * v["y"] / 2)}
+
     # each step binds what the next one uses, as a lambda evaluates whatever it doesn't take as a variable for each element
     step = lambda rows, f: F.transform(rows, lambda v: F.struct(*(v[c].alias(c) for c in f[0]), *(x.alias(c) for c, x in f[1](v).items())))
     values = F.array(F.struct(bare.alias("text"), symbols.alias("alphabet"), F.split(bare, "").alias("chars")))
     values = step(values, (["text", "alphabet", "chars"], lambda v: {"place": F.transform(v["chars"], lambda c: (F.instr(v["alphabet"], c) - 1).cast("double"))}))
     values = step(values, (["text", "alphabet", "chars", "place"], lambda v: {"high": F.transform(v["place"], lambda x: (x * 2 >= F.length(v["alphabet"])).cast("int")), "mean": F.aggregate(v["place"], F.lit(0.0), lambda acc, x: acc + x) / F.size(v["place"])}))
     values = F.transform(values, stats)
+    tests = ["p_uniform", "p_runs", "p_serial"]
+    values = step(values, ([*tests, "p_text"], lambda v: {"y": -sum((F.ln(F.greatest(v[c], F.lit(1e-100))) for c in tests), F.lit(0.0))}))
+    values = step(values, ([*tests, "p_text"], combined))
     return F.when(kind.isNotNull(), F.element_at(values, 1))
 
 
@@ -118,13 +125,31 @@ def _band(length: Column) -> Column:
     return F.least(F.floor(F.log2(length.cast("double")) * 2), F.lit(40)).cast("int")
 
 
+def _level(p: Column) -> Column:
+    """The bin of a p-value, the higher the smaller it is."""
+    return F.least(F.floor(-F.log2(F.greatest(p, F.lit(1e-300))) * BINS), F.lit(2000)).cast("int")
+
+
+def _rejected(bins: DataFrame, rate: float) -> Column | None:
+    """Least rejected bin of each band by the procedure of Benjamini and Hochberg at `rate`, as a map; None if there is none.
+
+    bins holds band, bin and n: at most 40 bands of 2000 bins, whatever the input. Each bin counts as its upper end.
+    """
+    w = Window.partitionBy("band")
+    ranked = bins.withColumn("m", F.sum("n").over(w)).withColumn("k", F.sum("n").over(w.orderBy(F.desc("bin"))))
+    passed = ranked.filter(F.pow(F.lit(2.0), -F.col("bin") / BINS) <= rate * F.col("k") / F.col("m")).groupBy("band").agg(F.min("bin").alias("bin"))
+    limits = {r["band"]: r["bin"] for r in passed.collect()}
+    return F.create_map(*(F.lit(v).cast("int") for pair in limits.items() for v in pair)) if limits else None
+
+
 def scan(docs: DataFrame, keep: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base (spans of known forms) and spans (those and the random tokens), sorted; with `keep`, the row as a struct.
 
     A span is a struct s, e, kind in code points. A random token is a run of TOKEN_LEAST or more characters of an
-    encoding, apart from every known form, that none of the three tests rejects as random at ALPHA / 3, and whose p_text
-    passes the false-discovery rate RATE among the candidates of like length, over all documents (the procedure of
-    Benjamini and Hochberg on binned values, each bin counting as its upper end).
+    encoding, apart from every known form, that the three tests together don't reject as random (p_random, at the
+    false-discovery rate LOST: of what they reject, so many are random) and that is rejected as written (p_text, at
+    RATE), both among the candidates of like length in all documents (the procedure of Benjamini and Hochberg on binned
+    values, each bin counting as its upper end).
 
     A null text is empty. Null ids and repeated rows stay; an empty table gives no rows.
     """
@@ -145,21 +170,16 @@ def scan(docs: DataFrame, keep: bool = False, id_col: str = "doc_id", text_col:
     tested = F.transform(apart, lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), _band(r["e"] - r["s"]).alias("band"), battery(r["value"]).alias("p")))
     df = cut(df.select("doc_id", *kept, "base", tested.alias("r")))
 
-    level = lambda p: F.least(F.floor(-F.log2(F.greatest(p, F.lit(1e-300))) * BINS), F.lit(2000)).cast("int")
-    each = df.select(F.explode("r").alias("r")).select("r.band", level(F.col("r.p.p_text")).alias("bin"))
-    bins = each.groupBy("band", "bin").agg(F.count("*").alias("n"))  # at most 40 bands of 2000 bins, whatever the input
-    w = Window.partitionBy("band")
-    ranked = bins.withColumn("m", F.sum("n").over(w)).withColumn("k", F.sum("n").over(w.orderBy(F.desc("bin"))))
-    passed = ranked.filter(F.pow(F.lit(2.0), -F.col("bin") / BINS) <= RATE * F.col("k") / F.col("m")).groupBy("band").agg(F.min("bin").alias("bin"))
-    limits = {r["band"]: r["bin"] for r in passed.collect()}
-    bound = F.expr("map_from_arrays(array({}), array({}))".format(*(", ".join(f"cast({v} as int)" for v in x) for x in (limits.keys(), limits.values())))) if limits else None
+    each = df.select(F.explode("r").alias("r")).select("r.band", F.explode(F.array(*(F.struct(F.lit(c).alias("of"), _level(F.col(f"r.p.{c}")).alias("bin")) for c in ("p_random", "p_text")))).alias("x"))
+    bins = cut(each.groupBy("x.of", "band", "x.bin").agg(F.count("*").alias("n")))
+    other, written = (_rejected(bins.filter(F.col("of") == c), rate) for c, rate in (("p_random", LOST), ("p_text", RATE)))
 
     def passes(r):
-        if bound is None:
+        if written is None:
             return F.lit(False)
-        p = r["p"]
-        random_ = F.least(p["p_uniform"], p["p_runs"], p["p_serial"]) >= ALPHA / 3
-        return F.coalesce(random_ & (level(p["p_text"]) >= F.element_at(bound, r["band"])), F.lit(False))
+        least = lambda bound: F.element_at(bound, r["band"])
+        random_ = F.lit(True) if other is None else F.coalesce(_level(r["p"]["p_random"]) < least(other), F.lit(True))
+        return F.coalesce(random_ & (_level(r["p"]["p_text"]) >= least(written)), F.lit(False))
 
     more = F.transform(F.filter("r", passes), lambda r: F.struct(r["s"].alias("s"), F.lit(4).cast("long").alias("k"), r["e"].alias("e"), F.lit("random").alias("kind")))
     return df.select("doc_id", *kept, "base", F.array_sort(F.concat(F.col("base"), more)).alias("spans"))

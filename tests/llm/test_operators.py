@@ -380,6 +380,24 @@ def test_secrets(spark, odd, empty):
     assert secrets.redact(odd).columns == odd.columns and secrets.redact(odd).count() == 11 and secrets.scan(empty).count() == 0
 
 
+def test_secrets_among_written_tokens(spark):
+    """Recall of planted random tokens, and the share of written ones among what is found."""
+    rng = np.random.default_rng(11)
+    words = "the of and to in is that for it was on are as with his they at be this have from or one had by word but not what all were when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into time has look two more write go see number no way could people".split()
+    alphabets = [secrets.ALPHABETS[k] for k in ("alnum", "base64", "base32")]
+    texts, planted = [], set()
+    for i in range(600):
+        parts = [str(rng.choice(["-", "_", "/"])).join([*rng.choice(words, 7), str(rng.integers(0, 99))]) for _ in range(3)]
+        if i % 4 == 0:
+            token = "".join(rng.choice(list(alphabets[i // 4 % 3]), 44 + i % 3))
+            parts.insert(1, token)
+            planted.add((i + 1, token))
+        texts.append(" ".join(parts))
+    found = {(r["doc_id"], texts[r["doc_id"] - 1][x["s"] : x["e"]]) for r in secrets.scan(frame(spark, texts)).collect() for x in r["spans"] if x["kind"] == "random"}
+    assert len(found & planted) >= 0.9 * len(planted), (len(found & planted), len(planted))
+    assert len(found - planted) <= 0.05 * len(found), len(found - planted)
+
+
 def test_ann(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(900, 8))

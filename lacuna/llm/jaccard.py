@@ -311,7 +311,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Equal sets are one class; classes with the same prefix and size are one group; a prefix shingle lists the groups
     that have it. A list beyond BLOCK entries is met block by block, in tasks of their own. Of each block a spanning
     forest of the pairs that may link is verified on whole sets, then one over the components so found and all blocks,
-    then every pair that is left between components.
+    then every pair that is left between components. A list is met again only if its forest has ends in two components.
 
     A null or empty text, or one without words, has no shingles and is its own component, as is a row without an id,
     whose component is null unless it links with others. Rows that share id and text are one class. Other columns are
@@ -345,11 +345,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     made = cut(tried(listed(posts, False), False))
     seen = cut(made.select("a", "b").distinct())
     links = cut(_verified(rows, seen, reps, width, num, den))
-    tokens = made.filter("more").select("token").union(posts.filter("blocks > 1").select("token")).distinct()
+    def unjoined(made: DataFrame, roots: DataFrame) -> DataFrame:
+        """Tokens of the lists that have more pairs than the forest tried, some of whose ends are in two components still.
+
+        A forest spans all pairs of its list, so that once its own pairs are joined every pair of the list is.
+        """
+        a, b = roots.toDF("a", "x"), roots.toDF("b", "y")
+        tried_ = made.filter("more").join(a, "a", "left").join(b, "b", "left")
+        return tried_.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("token")
+
+    roots = components(links).toDF("cid", "root")
+    tokens = cut(unjoined(made, roots).union(posts.filter("blocks > 1").select("token")).distinct())
     for all_ in (False, True):
         if tokens.isEmpty():
             break
-        roots = components(links).toDF("cid", "root")
         open_ = cut(posts.join(tokens, "token", "left_semi"))
         # few lists are left, and then the classes stay where they are
         open_ = F.broadcast(open_) if open_.count() <= BROADCAST else open_
@@ -357,8 +366,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         made = cut(tried(again, all_))
         pairs = cut(made.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"))
         links, seen = links.union(cut(_verified(rows, pairs, reps, width, num, den))), seen.union(pairs)
-        tokens = cut(made.select("token").distinct())  # of lists that still have pairs between components
-    roots = components(links).toDF("cid", "root")
+        roots = components(links).toDF("cid", "root")
+        tokens = cut(unjoined(made, roots).distinct())
     named = reps.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("did").alias("least"))
     named = named.join(least, "root").select("cid", "least")

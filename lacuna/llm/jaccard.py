@@ -136,36 +136,43 @@ def _bits(marks: np.ndarray, wide: np.ndarray, i: np.ndarray, j: np.ndarray) ->
 
 
 def _meeting(posts: DataFrame, num: int, den: int) -> DataFrame:
-    """The posts, dealt out by token, that some other post of their token, or another member of their group, is near in size.
+    """The posts, dealt out by token, that some other post of their token, or another member of their group, may link with.
 
-    In order of size within a token, that is a neighbour if any; only one row is kept in mind.
+    In order of size within a token, that is the next post for an early one, and for any the last early one before it, if
+    it is near in size; only two rows are kept in mind.
     """
-    names = ["token", "gid", "n", "members", "lead"]
+    names = ["token", "gid", "n", "members", "lead", "early"]
 
     def out(x, go):
         return pa.RecordBatch.from_arrays([pa.array(x[c][go]) for c in names], names)
 
     def run(batches):
-        last = None
+        last = before = None  # the row before a batch, and token and size of the last early one before that
         for b in batches:
             if not b.num_rows:
                 continue
             x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in names}
-            x["lead"] = x["lead"].astype(bool)
+            x["lead"], x["early"] = x["lead"].astype(bool), x["early"].astype(bool)
             x["go"] = x["lead"] & (x["members"] > 1)
             if last is not None:
                 x = {c: np.concatenate((last[c], x[c])) for c in x}
-            n = x["n"].astype(np.int64)
-            near = (x["token"][1:] == x["token"][:-1]) & (den * n[:-1] >= num * n[1:])
-            x["go"][1:] |= near
-            x["go"][:-1] |= near
+            n, token, early = x["n"].astype(np.int64), x["token"], x["early"]
+            x["go"][:-1] |= early[:-1] & (token[1:] == token[:-1]) & (den * n[:-1] >= num * n[1:])
+            at = np.maximum.accumulate(np.where(early, np.arange(len(n)), -1))
+            at = np.concatenate(([-1], at[:-1]))
+            x["go"] |= (at >= 0) & (token[at] == token) & (den * n[at] >= num * n)
+            if before is not None:
+                x["go"] |= (at < 0) & (token == before[0]) & (den * before[1] >= num * n)
+            if early[:-1].any():
+                k = np.flatnonzero(early[:-1])[-1]
+                before = token[k], n[k]
             last = {c: v[-1:].copy() for c, v in x.items()}
             x["go"][-1] = False
             yield out(x, x["go"])
         if last is not None:
             yield out(last, last["go"])
 
-    return posts.select(*names).sortWithinPartitions("token", "n").mapInArrow(run, "token long, gid long, n int, members long, lead boolean")
+    return posts.select(*names).sortWithinPartitions("token", "n").mapInArrow(run, "token long, gid long, n int, members long, lead boolean, early boolean")
 
 
 def _forest(i: np.ndarray, j: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -200,15 +207,16 @@ def _pairs(num: int, den: int, all_: bool):
     """Pairs of classes in the same list, not yet in one component, that sizes and marks allow: a spanning forest of each list,
     of the pairs with the fewest differing marks, or all; and whether the list has more than those.
 
-    Members of two groups meet if their sizes do; members of one group meet in the list of its first prefix shingle. The
+    Members of two groups meet if their sizes do and the list is early for the smaller set, as that of their first common
+    shingle is if they link; members of one group meet in the list of its first prefix shingle. The
     parity marks of two sets differ in at most as many bits as the sets differ in shingles.
     """
-    names = ["token", "lo", "hi", "own", "gid", "cid", "n", "lead", "root"]
+    names = ["token", "lo", "hi", "own", "gid", "cid", "n", "lead", "early", "root"]
 
     def test(i, j, x):
         n = x["n"]
         ok = (x["cid"][i] != x["cid"][j]) & (x["root"][i] != x["root"][j])
-        ok &= (x["gid"][i] != x["gid"][j]) | x["lead"][i]
+        ok &= ((x["gid"][i] != x["gid"][j]) | x["lead"][i]) & x["early"][i]
         ok &= (x["lo"][i] == x["hi"][i]) | (x["own"][i] != x["own"][j])
         i, j = i[ok], j[ok]
         differ = _bits(x["marks"], x["wide"], i, j)
@@ -257,7 +265,7 @@ def _pairs(num: int, den: int, all_: bool):
                 continue
             # at first each class is a component of its own
             x = {c: b.column(c if c in b.schema.names else "cid").to_numpy(zero_copy_only=False) for c in names}
-            x["lead"], x["n"] = x["lead"].astype(bool), x["n"].astype(np.int64)
+            x["lead"], x["early"], x["n"] = x["lead"].astype(bool), x["early"].astype(bool), x["n"].astype(np.int64)
             x["marks"] = np.empty(b.num_rows, object)
             x["marks"][:] = b.column("marks").to_pylist()
             x["wide"] = np.array([len(y) for y in x["marks"]], np.int64)
@@ -322,10 +330,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = sets.filter("n > 0").groupBy("cid", "sid", "n").agg(F.min("did").alias("did"), F.first("gid").alias("gid"), F.first("prefix").alias("prefix"), F.first("marks").alias("marks"))
     classes = cut(classes)
     reps = classes.select("cid", "did")
-    token = F.explode("prefix").alias("token")
-    posts = classes.select("gid", "n", F.element_at("prefix", 1).alias("first"), token).select("token", "gid", "n", (F.col("token") == F.col("first")).alias("lead"))
+    posts = classes.select("gid", "n", F.posexplode("prefix").alias("at", "token"))
+    # sets of n and m >= n shingles that link share 2 * num * n / (num + den) at least, from their first common one on
+    early = F.expr(f"at <= n - (2L * {num} * n + {num + den - 1}) div {num + den}")
+    posts = posts.select("token", "gid", "n", (F.col("at") == 0).alias("lead"), early.alias("early"))
     # the members of a group are counted where its posts go anyway, so prefixes aren't shuffled another time
-    posts = posts.repartition("token").groupBy("token", "gid", "n", "lead").agg(F.count("*").alias("members"))
+    posts = posts.repartition("token").groupBy("token", "gid", "n", "lead", "early").agg(F.count("*").alias("members"))
     posts = cut(_meeting(posts, num, den))
     counts = posts.groupBy("token").agg(F.sum("members").alias("entries"))
     posts = posts.join(counts, "token").drop("members")
@@ -336,7 +346,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         """A row for each list, block pair (or block) and class."""
         rows = posts.join(classes.select("gid", "cid", "marks"), "gid").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if across else F.col("own"))
-        return rows.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "gid", "cid", "n", "lead", "marks")
+        return rows.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "gid", "cid", "n", "lead", "early", "marks")
 
     def tried(lists: DataFrame, all_: bool) -> DataFrame:
         order = ["token", "lo", "hi"]

@@ -148,7 +148,7 @@ class Model:
         return langs, scores
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)  # a worker lives on from one table to the next, and each model takes tens of MB
 def model(samples: tuple[tuple[str, str], ...]) -> Model:
     return Model(samples)
 

@@ -128,8 +128,12 @@ class Relaxer:
         children = c.items(node.children())
         if kind in TRANSPARENT:
             return self.relax(children[0], question, early, valued)
-        if kind == "GlobalLimit":
+        if kind in ("GlobalLimit", "Offset"):
             return self.limit(node, question)
+        if kind in ("Intersect", "Except"):
+            if node.isAll():
+                raise NotImplementedError(f"no relaxed form of operator {kind} that counts copies")
+            return self.relax(c.set_operation(node, "leftsemi" if kind == "Intersect" else "leftanti"), question, early, valued)
         oid = self.names(node)
         if not children:
             df = c.frame(node)
@@ -160,6 +164,8 @@ class Relaxer:
             return self.joined(node, oid, children, question, early)
         if kind == "Union":
             return self.united(node, oid, children, question, early, valued)
+        if kind == "Expand":
+            return self.expanded(node, oid, children[0], question, early, valued)
         if kind == "Sort" and self.options.unordered:
             return self.relax(children[0], question, early, valued)
         if kind in KEPT:
@@ -184,6 +190,12 @@ class Relaxer:
         elif c.kind(generator) == "Inline":
             if asked:
                 self.place(below, generator.child(), Node("", children=(Node("element", children=tuple(asked)),)))
+        elif c.kind(generator) in ("Stack", "JsonTuple"):
+            # they give rows for every row, and what is asked of those is only known once they are there
+            df, x = self.relax(child, below, False, valued)
+            df = c.generate_outer(node, c.analysed(df))
+            df = df.select("*", (self.fresh(node, question) & F.col(x.flag)).alias(compatible(oid)))
+            return df, x.plus(compatible(oid), flag=compatible(oid))
         else:
             raise NotImplementedError(f"no relaxed form of generator {c.kind(generator)}")
         # an inner one evaluates compatibility again, so no row below it may go
@@ -198,6 +210,20 @@ class Relaxer:
             df = df.filter(F.col(compatible(oid)))
         return df, x.plus(survived(oid), compatible(oid), flag=compatible(oid))
 
+    def expanded(self, node, oid, child, question, early, valued) -> tuple[DataFrame, Context]:
+        """The rows of grouping sets, each compatible if what its set leaves of the row is."""
+        c, outs = self.c, self.c.items(node.output())
+        lists = [c.items(p) for p in c.items(node.projections())]
+        below: Question = {}
+        for k, o in enumerate(outs):
+            if (asked := question.get(c.id(o))) is not None:
+                for e in [p[k] for p in lists if c.kind(p[k]) != "Literal"][:1]:
+                    self.place(below, e, asked)
+        df, x = self.relax(child, below, early, valued)
+        df = c.expand(lists, outs, df, x.names())
+        df = df.select("*", (self.fresh(node, question) & F.col(x.flag)).alias(compatible(oid)))
+        return df, x.plus(compatible(oid), flag=compatible(oid))
+
     def grouped(self, oid, grouping, items, child, question, early) -> tuple[DataFrame, Context]:
         c = self.c
         below = self.through(items, question)
@@ -266,14 +292,22 @@ class Relaxer:
         return getattr(col, f"{way}_nulls_{'first' if order.nullOrdering().toString() == 'NullsFirst' else 'last'}")()
 
     def limit(self, node, question) -> tuple[DataFrame, Context]:
-        """Rows beyond the limit, in the order of a sort below it, don't survive; all are numbered in one task."""
+        """Rows beyond the limit or before the offset, in the order of a sort below, don't survive; all are numbered in one task."""
         c, oid = self.c, self.names(node)
-        child = node.child()
-        while c.kind(child) in TRANSPARENT:
-            child = c.items(child.children())[0]
-        sorts = c.items(child.order()) if c.kind(child) == "Sort" else []
+
+        def below(plan):
+            plan = c.items(plan.children())[0]
+            return below(plan) if c.kind(plan) in TRANSPARENT else plan
+
+        child = sort = below(node)
+        skipped = F.lit(0)
+        if c.kind(node) == "GlobalLimit" and c.kind(child) == "Offset":
+            # both number the same rows, so the limit counts from where the offset ends
+            skipped, sort = c.column(child.offsetExpr()), below(child)
+        sorts = c.items(sort.order()) if c.kind(sort) == "Sort" else []
         order = [self.sort_key(o) for o in sorts] or [F.monotonically_increasing_id()]
         df, x = self.relax(c.items(child.children())[0] if c.kind(child) == "Sort" else child, question, False)
-        n = c.column(node.limitExpr())
-        df = df.select("*", (F.row_number().over(Window.orderBy(*order)) <= n).alias(survived(oid)), F.col(x.flag).alias(compatible(oid)))
+        at = F.row_number().over(Window.orderBy(*order))
+        ok = at <= c.column(node.limitExpr()) + skipped if c.kind(node) == "GlobalLimit" else at > c.column(node.offsetExpr())
+        df = df.select("*", ok.alias(survived(oid)), F.col(x.flag).alias(compatible(oid)))
         return df, x.plus(survived(oid), compatible(oid), flag=compatible(oid))

@@ -75,6 +75,23 @@ class Catalyst:
         flag = e.AttributeReference(name, types.DataTypes.BooleanType, False, types.Metadata.empty(), e.NamedExpression.newExprId(), self.seq([]))
         return self.jvm.org.apache.spark.sql.catalyst.plans.ExistenceJoin(flag), flag
 
+    def set_operation(self, node, how: str):
+        """An intersection or difference as the distinct rows of its left side that a join with the right one keeps."""
+        left, right = self.items(node.children())
+        e, option = self.expressions, self.jvm.scala.Option
+        condition = None
+        for x, y in zip(self.items(left.output()), self.items(right.output()), strict=True):
+            same = e.EqualNullSafe(x, y)
+            condition = same if condition is None else e.And(condition, same)
+        kind = self.jvm.org.apache.spark.sql.catalyst.plans.JoinType.apply(how)
+        hint = getattr(getattr(self.logical, "JoinHint$"), "MODULE$").NONE()
+        return self.logical.Distinct(self.logical.Join(left, right, kind, option.apply(condition), hint))
+
+    def expand(self, lists: list[list], outputs: list, df: DataFrame, names: list[str]) -> DataFrame:
+        """The rows that each list of expressions makes of df, with the columns of these names as they are."""
+        more = [self.attribute(df, n) for n in names]
+        return self.frame(self.logical.Expand(self.seq([self.seq([*p, *more]) for p in lists]), self.seq([*outputs, *more]), self.analysed(df)))
+
     def union(self, plans: list) -> DataFrame:
         return self.frame(self.logical.Union(self.seq(plans), False, False))
 

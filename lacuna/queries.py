@@ -267,6 +267,51 @@ def msr_window(spark, d):
     return _msr(orders(spark, d).withColumn("rn", F.row_number().over(w)).filter("rn <= 3"), URGENT)
 
 
+@query(_sql({"0002": "rn > 100", "0001": "rn <= 150"}, "SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS rn, o_orderpriority = '1-URGENT' AS c FROM orders", "c"))
+def msr_offset(spark, d):
+    return _msr(orders(spark, d).orderBy("o_totalprice", "o_orderkey").offset(100).limit(50), URGENT)
+
+
+_NATIONS = "SELECT c_nationkey AS k, c_acctbal > 0 AS a, c_nationkey {no} IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000) AS m, c_nationkey < 10 AS c FROM customer"
+
+
+@query(_sql({"0004": "a", "0002": "m"}, _NATIONS.format(no=""), "c"))
+def msr_intersect(spark, d):
+    c, s = customer(spark, d).filter("c_acctbal > 0"), supplier(spark, d).filter("s_acctbal > 9000")
+    return _msr(c.select("c_nationkey").intersect(s.select("s_nationkey")), {"c_nationkey": "ltltltlt10"})
+
+
+@query(_sql({"0004": "a", "0002": "m"}, _NATIONS.format(no="NOT"), "c"))
+def msr_except(spark, d):
+    c, s = customer(spark, d).filter("c_acctbal > 0"), supplier(spark, d).filter("s_acctbal > 9000")
+    return _msr(c.select("c_nationkey").subtract(s.select("s_nationkey")), {"c_nationkey": "ltltltlt10"})
+
+
+_SETS = "SELECT unnest([{keys}]) AS k, o_totalprice > 250000 AS a, o_orderpriority = '1-URGENT' AS c FROM orders"
+
+
+@query(_sql({"0004": "a"}, _SETS.format(keys="o_orderstatus"), "c"))
+def msr_rollup(spark, d):
+    return _msr(orders(spark, d).filter("o_totalprice > 250000").rollup("o_orderstatus", "o_orderpriority").count(), URGENT)
+
+
+@query(_sql({"0004": "a"}, _SETS.format(keys="o_orderstatus, 'all'"), "c"))
+def msr_cube(spark, d):
+    return _msr(orders(spark, d).filter("o_totalprice > 250000").cube("o_orderstatus", "o_orderpriority").count(), URGENT)
+
+
+@query(_sql({"0004": "a", "0001": "b"}, "SELECT o_orderkey AS k, o_totalprice > 250000 AS a, o_orderstatus = 'F' AS b, o_orderpriority = '1-URGENT' AS c FROM orders", "c"))
+def msr_stack(spark, d):
+    df = orders(spark, d).filter("o_totalprice > 250000").selectExpr("o_orderstatus", "stack(2, 'priority', o_orderpriority, 'clerk', 'none') AS (kind, value)")
+    return _msr(df.filter("o_orderstatus = 'F'"), {"value": "1-URGENT"})
+
+
+@query(_sql({"0001": "a"}, _INLINED, "c"))
+def msr_json_tuple(spark, d):
+    made = orders(spark, d).select(F.to_json(F.struct("o_orderpriority", "o_totalprice")).alias("j"))
+    return _msr(made.select(F.json_tuple("j", "o_orderpriority", "o_totalprice").alias("priority", "price")).filter("cast(price as double) > 250000"), {"priority": "1-URGENT"})
+
+
 _UNION = """SELECT concat_ws(',', CASE WHEN NOT (branch = 1 AND s = 'F') THEN '0003' END, CASE WHEN NOT (branch = 2 AND s = 'O') THEN '0006' END{more}) AS picky, count(*) AS compatible_count
 FROM (SELECT unnest([{branches}]) AS branch, o_orderstatus AS s, o_totalprice AS p FROM orders) WHERE p > 490000 GROUP BY 1"""
 

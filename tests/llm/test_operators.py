@@ -354,6 +354,30 @@ def test_lines_inside_a_band(spark):
     assert len(got) == 12
 
 
+@pytest.mark.parametrize("whole", [2, 64])
+def test_lines_of_large_bands(spark, monkeypatch, whole):
+    """All alike pairs that share a band, however large, are in one component: lines around the threshold of a common text."""
+    monkeypatch.setattr(lines, "WHOLE", whole)
+    rng = np.random.default_rng(9)
+    letters = list("bcdfghjklmnp")
+    base, texts = "".join(rng.choice(letters, 300)), []
+    for k in range(400):
+        t = list(base)
+        for at in rng.choice(295, 3 + k % 6, replace=False):
+            t[at : at + 2] = rng.choice(letters, 2)
+        texts.append("".join(t))
+    found, ids, sets = _linked(spark, texts)
+    rows = lines._lines(frame(spark, texts), "doc_id", "text", 1)
+    at = {r["lid"]: r["did"] - 1 for r in rows.collect()}
+    bands = {}
+    for r in lines._bands(lines._signed(rows)).collect():
+        bands.setdefault(r["band"], []).append(at[r["lid"]])
+    assert max(map(len, bands.values())) > 64
+    met = {(i, j) for b in bands.values() for i in b for j in b if i < j}
+    assert all(ids[i] == ids[j] for i, j in met if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+    assert len(set(ids)) > 1 and len(found) > 100
+
+
 def test_lines_short(spark, tmp_path):
     """Short lines that repeat go, in the query and in the pipeline's stage; those unlike others and blank ones stay."""
     import corpus_pipeline as p

@@ -116,6 +116,17 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_on_the_driver(spark, monkeypatch):
+    """Few edges are joined without shuffles, with the result of the steps."""
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in zip(rng.integers(-(2**62), 2**62, 40)[rng.integers(0, 40, 60)], rng.integers(0, 60, 60), strict=True)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    found = components.components(df)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(components, "LOCAL", -1)
+    assert sorted(found.collect()) == sorted(components.components(df).collect()) and found.schema == components.components(df).schema
+
+
 def test_langid(spark, odd, empty):
     rng = np.random.default_rng(3)
     words = {"en": ["the", "of", "and", "thing", "was"], "de": ["der", "und", "nicht", "schon", "zu"]}

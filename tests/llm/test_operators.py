@@ -365,7 +365,7 @@ def test_lines_inside_a_band(spark):
     assert len(got) == 12
 
 
-@pytest.mark.parametrize("whole", [2, 64])
+@pytest.mark.parametrize("whole", [2, 64, 512])
 def test_lines_of_large_bands(spark, monkeypatch, whole):
     """All alike pairs that share a band, however large, are in one component: lines around the threshold of a common text."""
     monkeypatch.setattr(lines, "WHOLE", whole)

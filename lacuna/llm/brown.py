@@ -12,7 +12,7 @@ from .common import cut, hash_words, id_key, join_texts, split_words
 
 HEAD, BINS = 131_072, 16  #: the most frequent words, whose counts go to every task, at most; bins of counts per factor of two
 ITEMS, TAILS = 1000, 128  #: words exchanged together on the driver; groups of rare words by their last two bytes
-LEAST = 8  #: a word of the head that occurs as often is placed in a class by its own counts
+LEAST = 8  #: a word that occurs as often is placed in a class by its own counts; one beyond the head (a far word) by joins
 CLASSES, PASSES = 48, 30
 DELTA = 0.1  #: added to every count
 END = np.uint64(0x5E0D_0F_7E47)  #: the end token's hash
@@ -107,6 +107,7 @@ class Model:
         self.n_items = len(self.core) + TAILS + 1
         self.n, self.v = n_tokens, n_distinct
         self.group_n, self.group_v = (x.copy() for x in groups)
+        self.far: dict[str, np.ndarray] = {}  # counts (n) and numbers (v) of the far words by group and by class
 
     def place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the head of each token, -1 if it isn't there, and its count (-1)."""
@@ -130,15 +131,19 @@ class Model:
         self.word_class = np.full(len(self.head), -1, np.int64)
         self.word_class[self.core] = cls[: len(self.core)]
 
-    def classes(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Place in the head, count, class of each token, and whether the word itself has that class."""
+    def classes(self, h: np.ndarray, group: np.ndarray, far: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Place in the head, count, class of each token, and whether the word itself has that class; far: hashes, in order,
+        and classes of the far words among them."""
         at, c = self.place(h)
         own = np.where(at >= 0, self.word_class[at], -1) if len(self.head) else at
+        if far is not None and len(far[0]):
+            k = np.minimum(np.searchsorted(far[0], h), len(far[0]) - 1)
+            own = np.where((at < 0) & (far[0][k] == h), far[1][k], own)
         return at, c, np.where(own >= 0, own, self.group_class[group]), own >= 0
 
-    def best(self, word: int, right: np.ndarray, left: np.ndarray) -> int:
-        """The class an exchange step puts a word of the head into, by its pairs to and from the classes of the items."""
-        old, counts = self.group_class[self.head_group[word]], self.counts.copy()
+    def best(self, group: int, right: np.ndarray, left: np.ndarray) -> int:
+        """The class an exchange step puts a word of a group into, by its pairs to and from the classes of the items."""
+        old, counts = self.group_class[group], self.counts.copy()
         counts[old] -= right
         counts[:, old] -= left
         gain = _gain(np.maximum(counts, 0), right, left, 0.0)
@@ -150,11 +155,17 @@ class Model:
         own = np.flatnonzero(self.word_class >= 0)
         np.subtract.at(self.group_n, self.head_group[own], self.head_counts[own])
         np.subtract.at(self.group_v, self.head_group[own], 1)
+        if self.far:
+            self.group_n -= self.far["n"]
+            self.group_v -= self.far["v"]
         size = np.bincount(self.word_class[own], weights=self.head_counts[own], minlength=self.k) + np.bincount(self.group_class, weights=self.group_n, minlength=self.k)
         members = np.bincount(self.word_class[own], minlength=self.k) + np.bincount(self.group_class, minlength=self.k)
+        if self.far:
+            size, members = size + self.far["class_n"], members + self.far["class_v"]
         prior = (size + 1) / (size.sum() + self.k)
         self.move = np.log10((counts + self.k * prior[None, :]) / (counts.sum(axis=1, keepdims=True) + self.k))
         z = np.log10(size + DELTA * members)
+        self.z = z
         self.word_emit = np.log10(self.head_counts + DELTA) - z[self.word_class]  # of words with a class of their own
         self.group_emit = np.log10(self.group_n + DELTA) - z[self.group_class]
         self.group_z = np.log10(self.group_n + DELTA * (self.group_v + 1))
@@ -173,8 +184,41 @@ def _pairs(items: np.ndarray, per: np.ndarray, end: int) -> tuple[np.ndarray, np
     return prev, items
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(id_key("doc_id").alias("did"), "data", F.xxhash64("data").alias("th"), "doc_id")
+
+
+def _with_far(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    """The rows of `_keyed`; if there are far words with those of each, by hash and class, as far_h and far_c (null: none)."""
+    if not model.far:
+        return docs
+
+    def words(batches):
+        for whole in batches:
+            for b in _batches(whole):
+                h, _, per = tokens(b.column(1).to_pylist())
+                some = model.place(h)[0] < 0
+                owner = np.repeat(np.arange(len(per)), per)[some]
+                pairs = np.unique(np.stack((owner.astype(np.uint64), h[some])), axis=1)
+                row = pairs[0].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(b.column(k).to_numpy()[row]) for k in (0, 2)] + [pa.array(pairs[1].view(np.int64))], ["did", "th", "h"])
+
+    found = docs.select("did", "data", "th").mapInArrow(words, "did long, th long, h long").distinct()
+    found = found.join(counts.filter("cls is not null").select("h", "cls"), "h").groupBy("did", "th").agg(F.collect_list(F.struct("h", "cls")).alias("far"))
+    return docs.join(found, ["did", "th"], "left").select("did", "data", "th", "doc_id", F.col("far.h").alias("far_h"), F.col("far.cls").alias("far_c"))
+
+
+def _far(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray] | None:
+    """The far words of all rows of a batch, by hash, and their classes."""
+    if b.num_columns < 6:
+        return None
+    h, c = (b.column(k).flatten().to_numpy(zero_copy_only=False) for k in (4, 5))
+    h, first = np.unique(h.view(np.uint64), return_index=True)
+    return h, c[first]
+
+
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of all training texts, and the table of counts (h, n) of the words not in its head."""
+    """The model of all training texts, and the counts (h, n) of all words, with the class (cls) of the far ones."""
 
     def count(batches):
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -203,7 +247,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         if held:
             yield out(merged())
 
-    rows = docs.filter(_train("doc_id")).select("doc_id", "data")
+    rows = _keyed(docs.filter(_train("doc_id")))
     counts = cut(rows.mapInArrow(count, "h long, g short, n long").groupBy("h").agg(F.first("g").alias("g"), F.sum("n").alias("n")))
     groups = counts.groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     bin_ = F.floor(F.log2("n") * BINS)
@@ -220,35 +264,35 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         group_n[r["g"]], group_v[r["g"]] = r["n"], r["v"]
     model = Model(head, int(group_n.sum()), int(group_v.sum()), (group_n, group_v))
 
-    def sums(cells):
-        """Counts of what `cells` gives for the hashes and groups of all tokens and the number of each text."""
+    def sums(cells, rows=rows):
+        """Counts of what `cells` gives for the hashes and groups of all tokens, the number of each text and the batch."""
 
         def run(batches):
             keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
             for whole in batches:
                 for b in _batches(whole):
-                    u, c = np.unique(cells(*tokens(b.column(1).to_pylist())), return_counts=True)
+                    u, c = np.unique(cells(*tokens(b.column(1).to_pylist()), b), return_counts=True)
                     keys, inv = np.unique(np.concatenate((keys, u)), return_inverse=True)
                     n = np.bincount(inv, weights=np.concatenate((n, c))).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
         return rows.mapInArrow(run, "key long, n long")
 
-    def collected(cells, size: int) -> np.ndarray:
+    def collected(cells, size: int, rows=rows) -> np.ndarray:
         """The sums as a square matrix; at most size squared, whatever the corpus."""
-        got = sums(cells).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        got = sums(cells, rows).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
         out = np.zeros(size * size)
         out[got["key"].to_numpy()] = got["n"].to_numpy()
         return out.reshape(size, size)
 
-    def of_items(h, g, per):
+    def of_items(h, g, per, _):
         prev, item = _pairs(model.items(h, g), per, model.n_items - 1)
         return prev * model.n_items + item
 
     model.start(collected(of_items, model.n_items))
     k = model.k
 
-    def contexts(h, g, per):
+    def contexts(h, g, per, _):
         """The classes before (first k) and after (next k) each word to place."""
         at, _, cls, own = model.classes(h, g)
         open_ = (at >= 0) & ~own & model.open[at]
@@ -272,20 +316,69 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
             np.add.at(total, place[key // (2 * k)] * (2 * k) + key % (2 * k), b.column(1).to_numpy())
         total = total.reshape(len(model.rest), 2, k)
         some = np.flatnonzero(total.any(axis=(1, 2)))
-        cls = [model.best(int(model.rest[i]), total[i, 1].astype(float), total[i, 0].astype(float)) for i in some]
+        cls = [model.best(model.head_group[model.rest[i]], total[i, 1].astype(float), total[i, 0].astype(float)) for i in some]
         yield pa.RecordBatch.from_arrays([pa.array(model.rest[some]), pa.array(cls, pa.int64())], ["word", "class"])
 
+    beyond = counts.filter((bin_ <= above) & (F.col("n") >= LEAST))
+    far = above >= 0 and not beyond.isEmpty()
+    if far:  # before words of the head have classes, as those are placed without them too
+        counts = _place_far(rows, counts, beyond, model)
     if len(model.rest):
         word = F.floor(F.col("key") / F.lit(2 * k))
         found = sums(contexts).repartition(word).mapInArrow(placed, "word long, class long").toArrow()  # at most HEAD rows
         model.word_class[found["word"].to_numpy()] = found["class"].to_numpy()
 
-    def of_classes(h, g, per):
-        prev, cls = _pairs(model.classes(h, g)[2], per, k - 1)
+    def of_classes(h, g, per, b):
+        prev, cls = _pairs(model.classes(h, g, _far(b))[2], per, k - 1)
         return prev * k + cls
 
-    model.learn(collected(of_classes, k))
-    return model, counts.select("h", "n")
+    model.learn(collected(of_classes, k, _with_far(rows, counts, model)))
+    return model, counts.select("h", "n", F.col("cls") if far else F.lit(None).cast("long").alias("cls"))
+
+
+def _place_far(rows: DataFrame, counts: DataFrame, beyond: DataFrame, model: Model) -> DataFrame:
+    """The counts with a class (cls) for the words of `beyond`, each placed as those of the head are, by its own sums, which
+    are one bounded row. The sums of these words by group and by class go into the model."""
+    k = model.k
+
+    def contexts(batches):
+        """The classes before (first k) and after (next k) each word that isn't in the head."""
+        for whole in batches:
+            for b in _batches(whole):
+                h, g, per = tokens(b.column(1).to_pylist())
+                at, _, cls, _ = model.classes(h, g)
+                prev, cls = _pairs(cls, per, k - 1)
+                some = at < 0
+                after = np.zeros(len(h), bool)
+                after[1:] = some[:-1]
+                after[np.cumsum(per) - per] = False
+                of = np.flatnonzero(after)
+                x, c = np.concatenate((h[some], h[of - 1])), np.concatenate((prev[some], k + cls[of]))
+                order = np.lexsort((c, x))
+                x, c = x[order], c[order]
+                first = np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), (x[1:] != x[:-1]) | (c[1:] != c[:-1]))))
+                n = np.diff(np.append(first, len(x))).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)), pa.array(c[first].astype(np.int64)), pa.array(n)], ["h", "c", "m"])
+
+    def placed(batches):
+        for b in batches:
+            cls = []
+            for g, cells in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                total = np.zeros(2 * k)
+                for x in cells:
+                    total[x["c"]] = x["m"]
+                cls.append(model.best(g, total[k:], total[:k]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.int64())], ["h", "cls"])
+
+    near = rows.mapInArrow(contexts, "h long, c long, m long").join(beyond.select("h", "g"), "h")
+    near = near.groupBy("h", "g", "c").agg(F.sum("m").alias("m")).groupBy("h", "g").agg(F.collect_list(F.struct("c", "m")).alias("cells"))
+    out = cut(counts.join(near.mapInArrow(placed, "h long, cls long"), "h", "left"))
+    far = out.filter("cls is not null")
+    model.far = {"n": np.zeros(TAILS + 1), "v": np.zeros(TAILS + 1), "class_n": np.zeros(k), "class_v": np.zeros(k)}
+    for key, n, v in (("g", "n", "v"), ("cls", "class_n", "class_v")):
+        for r in far.groupBy(key).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+            model.far[n][r[key]], model.far[v][r[key]] = r["n"], r["v"]
+    return out
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,13 +386,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     A null or empty text is its end token alone. Rows without an id are learned from. Repeated rows are counted each, and
     get equal scores. A word's probability is that of its class after the class before, times its own within the class.
-    The ITEMS most frequent words and the groups of rare words are exchanged together; every other word of the head
-    that occurs LEAST times or more then takes one exchange step by its own counts, distributed. A rarer word shares its
+    The ITEMS most frequent words and the groups of rare words are exchanged together; every other word
+    that occurs LEAST times or more then takes one exchange step by its own counts, distributed; the HEAD most frequent are
+    looked up in each task, those beyond by joins, with the same result. A rarer word shares its
     group's part by its count plus DELTA, as does one never seen. Other columns are left out; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("data"))
     model, counts = train(docs)
-    keyed = docs.select(id_key("doc_id").alias("did"), "data", F.xxhash64("data").alias("th"), "doc_id")
+    keyed = _keyed(docs)
 
     def heads(batches):
         m = model
@@ -307,12 +401,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for whole in batches:
             for b in _batches(whole):
                 h, g, per = tokens(b.column(1).to_pylist())
-                at, c, cls, placed = m.classes(h, g)
+                at, c, cls, placed = m.classes(h, g, _far(b))
                 prev, cls = _pairs(cls, per, m.k - 1)
                 own = np.log10(np.maximum(c, 0) + DELTA) * (c >= 0)
                 emit = m.group_emit[g] + np.where(g < TAILS, own, 0) - m.group_z[g]
                 if len(m.head):
-                    emit = np.where(placed, m.word_emit[at], emit)
+                    emit = np.where(placed, np.where(at >= 0, m.word_emit[at], -m.z[cls]), emit)  # a far word's count is joined
                 value = m.move[prev, cls] + emit
                 edges = np.cumsum(per) - per
                 add = lambda x: pa.array(np.add.reduceat(x, edges))  # noqa: B023, E731
@@ -337,8 +431,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(hs[first].view(np.int64)), pa.array(did[os[first]]), pa.array(th[os[first]]), pa.array(tf.astype(np.int32))], ["h", "did", "th", "tf"])
 
     whole = keyed.select("did", "data", "th", "doc_id")
-    head = whole.mapInArrow(heads, "did long, th long, doc_id long, n_tokens long, n_known long, base double, value double")
-    tail = whole.mapInArrow(tails, "h long, did long, th long, tf int").join(counts, "h", "left")
+    head = _with_far(whole, counts, model).mapInArrow(heads, "did long, th long, doc_id long, n_tokens long, n_known long, base double, value double")
+    tail = whole.mapInArrow(tails, "h long, did long, th long, tf int").join(counts.select("h", "n"), "h", "left")
     n = F.coalesce(F.col("n"), F.lit(0))
     tail = tail.groupBy("did", "th").agg(F.sum(F.col("tf") * F.log10(n + DELTA)).alias("t"), F.sum(F.when(n > 0, F.col("tf")).otherwise(0)).alias("k"))
     copies = whole.groupBy("did", "th").agg(F.count("*").alias("copies"))

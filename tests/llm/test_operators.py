@@ -304,6 +304,23 @@ def test_brown_placement(spark, monkeypatch):
     assert np.allclose(mass, 1)
 
 
+def test_brown_beyond_the_head(spark, monkeypatch):
+    """Words beyond the head are placed by their own counts as well, so that scores don't depend on what the head holds."""
+    monkeypatch.setattr(brown, "ITEMS", 8)
+    monkeypatch.setattr(brown, "CLASSES", 6)
+    rng = np.random.default_rng(11)
+    sides = [[f"{x}{k}{y}" for k, y in enumerate(rng.choice(list("xyz"), 60))] for x in "nv"]
+    weight = 1 / np.arange(1, 61)
+    texts = [" ".join(str(rng.choice(w, p=weight / weight.sum())) for _ in range(20) for w in sides) for _ in range(150)]
+    docs = frame(spark, [*texts, None, "", texts[0], "n3x unseen"], [*range(1, 151), 151, 152, 1, None])
+    get = lambda: sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in brown.score(docs).collect())
+    want = get()
+    monkeypatch.setattr(brown, "HEAD", 30)
+    assert np.allclose(get(), want, rtol=1e-12, atol=1e-9)
+    m, counts = brown.train(docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data")))
+    assert len(m.head) <= 30 and counts.filter("cls is not null").count() >= 40
+
+
 def test_lines(spark, odd, empty):
     a, b = "This is a long enough line about foxes and dogs.", "This is a long enough line about foxes and dogs!"
     df = frame(spark, [f"{a}\nshort\n{a}", f"other words stand here instead\n{b}\nshort", None, ""])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import _batches
 from .common import cut, hash_words, id_key, join_texts, split_words
 
-HEAD, BINS = 131_072, 16  #: the most frequent words, whose counts go to every task, at most; bins of counts per factor of two
+HEAD, BINS = 1 << 20, 16  #: the most frequent words, whose counts go to every task, at most; bins of counts per factor of two
 ITEMS, TAILS = 1000, 128  #: words exchanged together on the driver; groups of rare words by their last two bytes
 LEAST = 8  #: a word that occurs as often is placed in a class by its own counts; one beyond the head (a far word) by joins
 CLASSES, PASSES = 48, 30
@@ -307,17 +307,17 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         return np.concatenate((at[open_] * (2 * k) + prev[open_], before[out] * (2 * k) + k + cls[out]))
 
     def placed(batches):
-        """Sums of a word's rows are in one task: at most HEAD by 2 k numbers, whatever the corpus."""
-        place = np.full(len(model.head), -1, np.int64)
-        place[model.rest] = np.arange(len(model.rest))
-        total = np.zeros(len(model.rest) * 2 * k, np.int64)
-        for b in batches:
-            key = b.column(0).to_numpy()
-            np.add.at(total, place[key // (2 * k)] * (2 * k) + key % (2 * k), b.column(1).to_numpy())
-        total = total.reshape(len(model.rest), 2, k)
-        some = np.flatnonzero(total.any(axis=(1, 2)))
-        cls = [model.best(model.head_group[model.rest[i]], total[i, 1].astype(float), total[i, 0].astype(float)) for i in some]
-        yield pa.RecordBatch.from_arrays([pa.array(model.rest[some]), pa.array(cls, pa.int64())], ["word", "class"])
+        """Sums of a word's rows are in one task: its words by 2 k numbers, whatever the corpus."""
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not got:
+            return
+        key, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        words, at = np.unique(key // (2 * k), return_inverse=True)
+        total = np.zeros(len(words) * 2 * k, np.int64)
+        np.add.at(total, at * (2 * k) + key % (2 * k), n)
+        total = total.reshape(len(words), 2, k).astype(float)
+        cls = [model.best(model.head_group[w], right, left) for w, (left, right) in zip(words, total, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(cls, pa.int64())], ["word", "class"])
 
     beyond = counts.filter((bin_ <= above) & (F.col("n") >= LEAST))
     far = above >= 0 and not beyond.isEmpty()

@@ -111,10 +111,22 @@ class Model:
 
     def place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the head of each token, -1 if it isn't there, and its count (-1)."""
+        at = np.full(len(h), -1, np.int64)
         if not len(self.head):
-            return np.full(len(h), -1, np.int64), np.full(len(h), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
-        at = np.where(self.head[at] == h, at, -1)
+            return at, at.copy()
+        if not hasattr(self, "first"):  # where the hashes of each run of upper bits begin; made in each task, not sent
+            self.shift = np.uint64(64 - len(self.head).bit_length())
+            self.first = np.concatenate(([0], np.cumsum(np.bincount((self.head >> self.shift).astype(np.int64), minlength=1 << len(self.head).bit_length()))))
+        run = (h >> self.shift).astype(np.int64)
+        pos, end = self.first[run], self.first[run + 1]
+        todo = np.flatnonzero(pos < end)
+        pos = pos[todo]
+        while len(todo):
+            same = self.head[pos] == h[todo]
+            at[todo[same]] = pos[same]
+            todo, pos = todo[~same], pos[~same] + 1
+            left = pos < end[todo]
+            todo, pos = todo[left], pos[left]
         return at, np.where(at >= 0, self.head_counts[at], -1)
 
     def items(self, h: np.ndarray, group: np.ndarray) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import unicodedata
 from functools import lru_cache
 
@@ -153,6 +155,15 @@ def model(samples: tuple[tuple[str, str], ...]) -> Model:
     return Model(samples)
 
 
+def release() -> None:
+    """Forget the model and return freed memory to the system, as far as its library can."""
+    model.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[tuple[str, str], ...]:
     """A bounded labelled sample: of each of the MAX_LANGS most frequent languages the SAMPLE_DOCS documents whose hashed
     ids are smallest, up to TEXT_CHARS characters of each and SAMPLE_CHARS in all. Language counts are of all rows."""
@@ -186,6 +197,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text)
 
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         m = model(samples)
         for whole in batches:
             if at >= 0:
@@ -194,9 +206,9 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str
             for b in _batches(whole):
                 langs, scores = m.predict(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores), *b.columns[2:]], ["doc_id", "lang_pred", "score", *(["row"] if keep else [])])
-        # a worker lives on after its task, beside what runs next
-        whole = b = row = None
-        pa.default_memory_pool().release_unused()
+        # a worker lives on after its task, for a minute beside what runs next, so it gives back what it can
+        whole = b = row = m = None
+        release()
 
     schema = StructType([StructField("doc_id", LongType()), StructField("lang_pred", StringType()), StructField("score", DoubleType()), *(f for f in df.schema.fields if f.name == "row")])
     return df.mapInArrow(run, schema)

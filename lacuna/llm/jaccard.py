@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _batches
-from .common import NULL_ID, cut, grams, hash_words, id_key, mix
+from .common import NULL_ID, cut, grams, hash_words, id_key, mix, releasing
 from .components import components
 
 WIDTH, NUM, DEN = 3, 90, 100  #: words in a shingle; two sets link when DEN * intersection >= NUM * union
@@ -77,7 +77,7 @@ def _frequent(rows: DataFrame, width: int) -> np.ndarray:
         if held:
             yield out()
 
-    top = rows.mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(COMMON).collect()
+    top = rows.mapInArrow(releasing(run), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(COMMON).collect()
     return np.array([r["t"] for r in reversed(top)], np.int64).view(np.uint64)
 
 
@@ -117,7 +117,7 @@ def _described(rows: DataFrame, frequent: np.ndarray, width: int, num: int, den:
                     ["did", "cid", "sid", "n", "gid", "prefix", "marks"],
                 )
 
-    return rows.mapInArrow(run, f"{_SET}, gid long, prefix array<long>, marks binary")
+    return rows.mapInArrow(releasing(run), f"{_SET}, gid long, prefix array<long>, marks binary")
 
 
 def _bits(marks: np.ndarray, wide: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -172,7 +172,7 @@ def _meeting(posts: DataFrame, num: int, den: int) -> DataFrame:
         if last is not None:
             yield out(last, last["go"])
 
-    return posts.select(*names).sortWithinPartitions("token", "n").mapInArrow(run, "token long, gid long, n int, members long, lead boolean, early boolean")
+    return posts.select(*names).sortWithinPartitions("token", "n").mapInArrow(releasing(run), "token long, gid long, n int, members long, lead boolean, early boolean")
 
 
 def _forest(i: np.ndarray, j: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -296,7 +296,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, nu
                 sets = shingles(b.column(1).to_pylist(), width)
                 yield pa.RecordBatch.from_arrays([pa.array([_names(s)[0] for s in sets], pa.int64()), b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "did", "data"])
 
-    sets = rows.join(wanted, "did", "left_semi").mapInArrow(run, "cid long, did long, data binary").join(needed, ["cid", "did"], "left_semi")
+    sets = rows.join(wanted, "did", "left_semi").mapInArrow(releasing(run), "cid long, did long, data binary").join(needed, ["cid", "did"], "left_semi")
     sets = sets.groupBy("cid").agg(F.first("data").alias("data"))
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("data").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("data").alias("y")), "b")
 
@@ -309,7 +309,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, nu
                 ok.append(den * common >= num * (len(x) + len(y) - common))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(releasing(compare), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:

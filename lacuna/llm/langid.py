@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import unicodedata
 from functools import lru_cache
 
@@ -14,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from .bpe import _batches
-from .common import every
+from .common import every, release
 
 SAMPLE_DOCS, SAMPLE_CHARS, TEXT_CHARS, MAX_LANGS = 120, 30_000, 250, 256  #: bounds of the labelled sample: many short passages of each language
 CLASSES = 256  #: characters told apart at most; the last class is padding, class 0 every other character, which matches none
@@ -155,15 +153,6 @@ def model(samples: tuple[tuple[str, str], ...]) -> Model:
     return Model(samples)
 
 
-def release() -> None:
-    """Forget the model and return freed memory to the system, as far as its library can."""
-    model.cache_clear()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
-
-
 def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[tuple[str, str], ...]:
     """A bounded labelled sample: of each of the MAX_LANGS most frequent languages the SAMPLE_DOCS documents whose hashed
     ids are smallest, up to TEXT_CHARS characters of each and SAMPLE_CHARS in all. Language counts are of all rows."""
@@ -208,6 +197,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores), *b.columns[2:]], ["doc_id", "lang_pred", "score", *(["row"] if keep else [])])
         # a worker lives on after its task, for a minute beside what runs next, so it gives back what it can
         whole = b = row = m = None
+        model.cache_clear()
         release()
 
     schema = StructType([StructField("doc_id", LongType()), StructField("lang_pred", StringType()), StructField("score", DoubleType()), *(f for f in df.schema.fields if f.name == "row")])

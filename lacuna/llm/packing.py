@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import LONG, Ranks, _batches, spread
-from .common import Table, join_texts, split_words
+from .common import Table, join_texts, releasing, split_words
 
 WINDOW, END = 4096, 2
 SHARD_TOKENS = 1 << 20  #: a shard is closed by the document that takes it beyond this
@@ -229,7 +229,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
 
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     docs = docs.coalesce(min(2**31 - 1, max(1, total // TASK_BYTES)))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("data")).mapInArrow(run, _SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("data")).mapInArrow(releasing(run), _SCHEMA)
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:

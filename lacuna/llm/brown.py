@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _batches
-from .common import cut, hash_words, id_key, join_texts, split_words
+from .common import cut, hash_words, id_key, join_texts, releasing, settle, split_words
 
 HEAD, BINS = 1 << 20, 16  #: the most frequent words, whose counts go to every task, at most; bins of counts per factor of two
 ITEMS, TAILS = 1000, 128  #: words exchanged together on the driver; groups of rare words by their last two bytes
@@ -91,17 +91,18 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int = PASSES) ->
 
 
 class Model:
-    """Counts of the training tokens, the classes, and their logarithms."""
+    """Counts of the training tokens, the classes, and their logarithms.
+
+    Every worker holds the head, so it is kept in small types: 15 bytes a word, 19 until the items have classes.
+    """
 
     def __init__(self, head: tuple[np.ndarray, np.ndarray, np.ndarray], n_tokens: int, n_distinct: int, groups: tuple[np.ndarray, np.ndarray]):
         order = np.argsort(head[0])
-        self.head, self.head_counts, self.head_group = (x[order] for x in head)
+        wide = np.int64 if len(order) and head[1].max() >= 2**31 else np.int32
+        self.head, self.head_counts, self.head_group = (x[order].astype(t, copy=False) for x, t in zip(head, (np.uint64, wide, np.uint8), strict=True))
         rank = np.lexsort((self.head, -self.head_counts))
         rank = rank[self.head[rank] != END]
         self.core = rank[:ITEMS]
-        self.rest = rank[ITEMS:][self.head_counts[rank[ITEMS:]] >= LEAST]
-        self.open = np.zeros(len(self.head) + 1, bool)  # words to place by their own counts; the last place is for none
-        self.open[self.rest] = True
         self.item = np.full(len(self.head), -1, np.int32)
         self.item[self.core] = np.arange(len(self.core))
         self.n_items = len(self.core) + TAILS + 1
@@ -109,14 +110,28 @@ class Model:
         self.group_n, self.group_v = (x.copy() for x in groups)
         self.far: dict[str, np.ndarray] = {}  # counts (n) and numbers (v) of the far words by group and by class
 
+    @property
+    def rest(self) -> np.ndarray:
+        """Places in the head of the words to place by their own counts."""
+        own = (self.head_counts >= LEAST) & (self.head != END)
+        own[self.core] = False
+        return np.flatnonzero(own)
+
+    @property
+    def word_emit(self) -> np.ndarray:
+        """The words' probabilities within their classes, of those with a class of their own."""
+        return np.log10(self.head_counts + DELTA) - self.z[self.word_class]
+
     def place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the head of each token, -1 if it isn't there, and its count (-1)."""
         at = np.full(len(h), -1, np.int64)
         if not len(self.head):
             return at, at.copy()
         if not hasattr(self, "first"):  # where the hashes of each run of upper bits begin; made in each task, not sent
-            self.shift = np.uint64(64 - len(self.head).bit_length())
-            self.first = np.concatenate(([0], np.cumsum(np.bincount((self.head >> self.shift).astype(np.int64), minlength=1 << len(self.head).bit_length()))))
+            bits = max(1, len(self.head).bit_length() - 1)
+            self.shift = np.uint64(64 - bits)
+            self.first = np.zeros((1 << bits) + 1, np.int32)
+            np.cumsum(np.bincount((self.head >> self.shift).astype(np.int32), minlength=1 << bits), out=self.first[1:])
         run = (h >> self.shift).astype(np.int64)
         pos, end = self.first[run], self.first[run + 1]
         todo = np.flatnonzero(pos < end)
@@ -140,8 +155,9 @@ class Model:
         cls, self.counts = exchange(pairs, CLASSES, PASSES)
         self.k = len(self.counts)
         self.group_class = cls[len(self.core) :]
-        self.word_class = np.full(len(self.head), -1, np.int64)
+        self.word_class = np.full(len(self.head), -1, np.int16)
         self.word_class[self.core] = cls[: len(self.core)]
+        self.item = None
 
     def classes(self, h: np.ndarray, group: np.ndarray, far: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Place in the head, count, class of each token, and whether the word itself has that class; far: hashes, in order,
@@ -178,7 +194,6 @@ class Model:
         self.move = np.log10((counts + self.k * prior[None, :]) / (counts.sum(axis=1, keepdims=True) + self.k))
         z = np.log10(size + DELTA * members)
         self.z = z
-        self.word_emit = np.log10(self.head_counts + DELTA) - z[self.word_class]  # of words with a class of their own
         self.group_emit = np.log10(self.group_n + DELTA) - z[self.group_class]
         self.group_z = np.log10(self.group_n + DELTA * (self.group_v + 1))
         self.group_z[TAILS] = 0
@@ -215,7 +230,7 @@ def _with_far(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                 row = pairs[0].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(b.column(k).to_numpy()[row]) for k in (0, 2)] + [pa.array(pairs[1].view(np.int64))], ["did", "th", "h"])
 
-    found = docs.select("did", "data", "th").mapInArrow(words, "did long, th long, h long").distinct()
+    found = docs.select("did", "data", "th").mapInArrow(releasing(words), "did long, th long, h long").distinct()
     found = found.join(counts.filter("cls is not null").select("h", "cls"), "h").groupBy("did", "th").agg(F.collect_list(F.struct("h", "cls")).alias("far"))
     return docs.join(found, ["did", "th"], "left").select("did", "data", "th", "doc_id", F.col("far.h").alias("far_h"), F.col("far.cls").alias("far_c"))
 
@@ -248,9 +263,9 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
             for b in _batches(whole):
                 h, g, _ = tokens(b.column(1).to_pylist())
                 u, first, n = np.unique(h, return_index=True, return_counts=True)
-                held.append((u, g[first], n))
+                held.append((u, g[first].astype(np.uint8), n.astype(np.int32)))
                 size += len(u)
-                if size > 1 << 21:
+                if size > 1 << 20:
                     held = [merged()]
                     size = len(held[0][0])
                     if size > 1 << 20:
@@ -260,7 +275,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
             yield out(merged())
 
     rows = _keyed(docs.filter(_train("doc_id")))
-    counts = cut(rows.mapInArrow(count, "h long, g short, n long").groupBy("h").agg(F.first("g").alias("g"), F.sum("n").alias("n")))
+    counts = cut(rows.mapInArrow(releasing(count), "h long, g short, n long").groupBy("h").agg(F.first("g").alias("g"), F.sum("n").alias("n")))
     groups = counts.groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     bin_ = F.floor(F.log2("n") * BINS)
     above, held = -1, 0  # the head is the words in the upper bins of counts, as many bins as HEAD holds
@@ -288,7 +303,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
                     n = np.bincount(inv, weights=np.concatenate((n, c))).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
-        return rows.mapInArrow(run, "key long, n long")
+        return rows.mapInArrow(releasing(run), "key long, n long")
 
     def collected(cells, size: int, rows=rows) -> np.ndarray:
         """The sums as a square matrix; at most size squared, whatever the corpus."""
@@ -306,8 +321,8 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
 
     def contexts(h, g, per, _):
         """The classes before (first k) and after (next k) each word to place."""
-        at, _, cls, own = model.classes(h, g)
-        open_ = (at >= 0) & ~own & model.open[at]
+        at, n, cls, own = model.classes(h, g)
+        open_ = ~own & (n >= LEAST) & (h != END)
         prev, cls = _pairs(cls, per, k - 1)
         before = np.empty_like(at)
         before[1:] = at[:-1]
@@ -337,7 +352,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         counts = _place_far(rows, counts, beyond, model)
     if len(model.rest):
         word = F.floor(F.col("key") / F.lit(2 * k))
-        found = sums(contexts).repartition(word).mapInArrow(placed, "word long, class long").toArrow()  # at most HEAD rows
+        found = sums(contexts).repartition(word).mapInArrow(releasing(placed), "word long, class long").toArrow()  # at most HEAD rows
         model.word_class[found["word"].to_numpy()] = found["class"].to_numpy()
 
     def of_classes(h, g, per, b):
@@ -382,9 +397,9 @@ def _place_far(rows: DataFrame, counts: DataFrame, beyond: DataFrame, model: Mod
                 cls.append(model.best(g, total[k:], total[:k]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.int64())], ["h", "cls"])
 
-    near = rows.mapInArrow(contexts, "h long, c long, m long").join(beyond.select("h", "g"), "h")
+    near = rows.mapInArrow(releasing(contexts), "h long, c long, m long").join(beyond.select("h", "g"), "h")
     near = near.groupBy("h", "g", "c").agg(F.sum("m").alias("m")).groupBy("h", "g").agg(F.collect_list(F.struct("c", "m")).alias("cells"))
-    out = cut(counts.join(near.mapInArrow(placed, "h long, cls long"), "h", "left"))
+    out = cut(counts.join(near.mapInArrow(releasing(placed), "h long, cls long"), "h", "left"))
     far = out.filter("cls is not null")
     model.far = {"n": np.zeros(TAILS + 1), "v": np.zeros(TAILS + 1), "class_n": np.zeros(k), "class_v": np.zeros(k)}
     for key, n, v in (("g", "n", "v"), ("cls", "class_n", "class_v")):
@@ -404,7 +419,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     group's part by its count plus DELTA, as does one never seen. Other columns are left out; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("data"))
+    settle(docs.sparkSession)  # workers that hold the head need room beside the heaps
     model, counts = train(docs)
+    settle(docs.sparkSession)
     keyed = _keyed(docs)
 
     def heads(batches):
@@ -413,12 +430,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for whole in batches:
             for b in _batches(whole):
                 h, g, per = tokens(b.column(1).to_pylist())
-                at, c, cls, placed = m.classes(h, g, _far(b))
+                _, c, cls, placed = m.classes(h, g, _far(b))
                 prev, cls = _pairs(cls, per, m.k - 1)
                 own = np.log10(np.maximum(c, 0) + DELTA) * (c >= 0)
                 emit = m.group_emit[g] + np.where(g < TAILS, own, 0) - m.group_z[g]
-                if len(m.head):
-                    emit = np.where(placed, np.where(at >= 0, m.word_emit[at], -m.z[cls]), emit)  # a far word's count is joined
+                emit = np.where(placed, own - m.z[cls], emit)  # a far word's count is joined
                 value = m.move[prev, cls] + emit
                 edges = np.cumsum(per) - per
                 add = lambda x: pa.array(np.add.reduceat(x, edges))  # noqa: B023, E731
@@ -443,8 +459,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(hs[first].view(np.int64)), pa.array(did[os[first]]), pa.array(th[os[first]]), pa.array(tf.astype(np.int32))], ["h", "did", "th", "tf"])
 
     whole = keyed.select("did", "data", "th", "doc_id")
-    head = _with_far(whole, counts, model).mapInArrow(heads, "did long, th long, doc_id long, n_tokens long, n_known long, base double, value double")
-    tail = whole.mapInArrow(tails, "h long, did long, th long, tf int").join(counts.select("h", "n"), "h", "left")
+    head = _with_far(whole, counts, model).mapInArrow(releasing(heads), "did long, th long, doc_id long, n_tokens long, n_known long, base double, value double")
+    tail = whole.mapInArrow(releasing(tails), "h long, did long, th long, tf int").join(counts.select("h", "n"), "h", "left")
     n = F.coalesce(F.col("n"), F.lit(0))
     tail = tail.groupBy("did", "th").agg(F.sum(F.col("tf") * F.log10(n + DELTA)).alias("t"), F.sum(F.when(n > 0, F.col("tf")).otherwise(0)).alias("k"))
     copies = whole.groupBy("did", "th").agg(F.count("*").alias("copies"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _batches
-from .common import cut, hash_words, id_key, join_texts, releasing, settle, split_words
+from .common import cut, hash_words, id_key, join_texts, releasing, settle, small_batches, split_words
 
 HEAD, BINS = 1 << 20, 16  #: the most frequent words, whose counts go to every task, at most; bins of counts per factor of two
 ITEMS, TAILS = 1000, 128  #: words exchanged together on the driver; groups of rare words by their last two bytes
@@ -419,6 +419,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     group's part by its count plus DELTA, as does one never seen. Other columns are left out; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("data"))
+    small_batches(docs.sparkSession)
     settle(docs.sparkSession)  # workers that hold the head need room beside the heaps
     model, counts = train(docs)
     settle(docs.sparkSession)

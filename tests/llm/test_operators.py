@@ -6,10 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.llm import ann, bpe, brown, components, jaccard, langid, lines, media, packing, secrets, substring
+from lacuna.llm import ann, bpe, brown, common, components, jaccard, langid, lines, media, packing, secrets, substring
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KIND = "doc_id long, text string, lang string, n int, n_words int, r int, did int, row int"
@@ -480,3 +481,31 @@ def test_pipeline(spark):
     assert near.columns == docs.columns and near.count() == groups.select("component_id").distinct().count()
     out = p.run(spark, "/root/testdata/sf0.001")
     assert out.select("doc_id").distinct().count() <= kept.count() and out.count() > 0
+
+
+def _sent(spark):
+    """The most rows of a batch that a Python worker gets in this session."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return spark.range(0, 9000, 1, 1).mapInArrow(run, "n long").agg(F.max("n")).first()[0]
+
+
+@pytest.mark.parametrize("name", ["op6_brown"])
+def test_batches_stay_small(spark, name):
+    import corpus_pipeline as p
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    began, few = spark.conf.get(key), frame(spark, [DOG, "a b"])
+    try:
+        for given, most in ((10_000, common.ROWS), (0, common.ROWS), (7, 7)):
+            spark.conf.set(key, given)
+            if name == "pipeline":
+                p.STAGES[3][1](spark, few, "")
+            else:
+                brown.score(few)
+            assert _sent(spark) == most
+    finally:
+        spark.conf.set(key, began)

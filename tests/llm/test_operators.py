@@ -493,7 +493,7 @@ def _sent(spark):
     return spark.range(0, 9000, 1, 1).mapInArrow(run, "n long").agg(F.max("n")).first()[0]
 
 
-@pytest.mark.parametrize("name", ["op6_brown"])
+@pytest.mark.parametrize("name", ["op6_brown", "pipeline"])
 def test_batches_stay_small(spark, name):
     import corpus_pipeline as p
 

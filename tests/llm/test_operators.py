@@ -407,6 +407,21 @@ def test_lines_of_large_bands(spark, monkeypatch, whole):
     assert len(set(ids)) > 1 and len(found) > 100
 
 
+def test_lines_shuffle_little(spark):
+    """Of lines that are signed only their least values are shuffled, and pairs that marks tell apart are not compared whole."""
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(rng.choice(list("bcdfghjklmnp"), n))
+    shared = word(300)
+    texts = [shared + word(700) for _ in range(40)]
+    rows = lines._lines(frame(spark, texts + [texts[0] + "z"]), "doc_id", "text", 1).repartition(8).localCheckpoint()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    assert lines._signed(rows).count() == 41 and written() - before < sum(map(len, texts)) / 10
+    marks = lines._marks(rows.select("lid", "line"))
+    pairs = rows.select(F.col("lid").alias("a")).join(rows.select(F.col("lid").alias("b")), F.col("a") < F.col("b"))
+    assert pairs.count() == 820 and lines._likely(pairs, marks).count() == 1
+
+
 def test_lines_short(spark, tmp_path):
     """Short lines that repeat go, in the query and in the pipeline's stage; those unlike others and blank ones stay."""
     import corpus_pipeline as p
